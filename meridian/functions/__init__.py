@@ -1 +1 @@
-
+"""Column functions: moments, intervals, relations, calendars, geometry, tags, text."""

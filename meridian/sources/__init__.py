@@ -1 +1 @@
-
+"""Sources: tables read as frames, text and JSON forms."""
