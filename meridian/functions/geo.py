@@ -11,10 +11,10 @@ METRES = {"centimeter": 0.01, "meter": 1.0, "kilometer": 1000.0, "mile": 1609.34
 
 
 def haversine(alat: Column, alon: Column, blat: Column, blon: Column) -> Column:
-    """Great-circle distance in whole metres, cut off."""
+    """Great-circle distance in whole metres, cut off; null if a coordinate is."""
     dlat, dlon = F.radians(blat - alat), F.radians(blon - alon)
     a = F.pow(F.sin(dlat / 2), 2.0) + F.cos(F.radians(alat)) * F.cos(F.radians(blat)) * F.pow(F.sin(dlon / 2), 2.0)
-    return (F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))).cast("bigint")
+    return (F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))).cast("bigint")
 
 
 def pythagorean(alat: Column, alon: Column, blat: Column, blon: Column) -> Column:

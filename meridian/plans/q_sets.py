@@ -106,7 +106,7 @@ def iset_not(s, d):
     return sets.not_(ev(s, d, "view"), customers(s, d))
 
 
-@query(f"WITH {EV}, {ABC}, {covered('cv', 'op')} SELECT key, lo, hi, cnt FROM cv")
+@query(f"WITH {EV}, {ABC}, {merged('mo', 'op', 'key, operand')}, {covered('cv', 'mo')} SELECT key, lo, hi, cnt FROM cv")
 def iset_depth(s, d):
     return sets.depth(tables.operands(s, d, "view", "click", "purchase"))
 

@@ -164,7 +164,7 @@ def directions(s, d):
     return loc(s, d).select(F.when(C("id") % 5 != 0, C("id")).alias("o"), (C("id") * 7 % n).alias("d"))
 
 
-@query(f"{_RES} SELECT dir.o, dir.d, coalesce({_M}, 0) AS distance_m, coalesce(CAST(trunc({_M} * 0.5) AS BIGINT), 0) AS duration_s FROM dir LEFT JOIN od ON dir.o = od.o AND dir.d = od.d")
+@query(f"{_RES} SELECT dir.o, dir.d, CASE WHEN od.o IS NULL THEN 0 ELSE {_M} END AS distance_m, CASE WHEN od.o IS NULL THEN 0 ELSE CAST(trunc({_M} * 0.5) AS BIGINT) END AS duration_s FROM dir LEFT JOIN od ON dir.o = od.o AND dir.d = od.d")
 def od_resolve(s, d):
     return space.resolve(directions(s, d), spherical(s, d)).select("o", "d", "distance_m", "duration_s")
 
