@@ -1,11 +1 @@
-"""Training-data operators: filters, classifiers, near-duplicates, search, tokens, mixing.
-
-Functions that run on executors are pickled by value, so a cluster needs no copy of this
-package on its workers.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Training-data operators: filters, classifiers, near-duplicates, search, tokens, mixing."""

@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="meridian-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back.
-
-    What follows reads files that outlive any executor, sees only the columns it asks for,
-    and carries no lineage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meridian-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from meridian.operators.frames import cut, shared_dir  # noqa: F401
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -94,6 +73,22 @@ def bounded_sample(df: DataFrame, group: Column, per_group: int, groups: list) -
     return out
 
 
+def hash_sample(df: DataFrame, by: str, per_group: int) -> DataFrame:
+    """doc_id and ``by`` of at most ``per_group`` rows of each group, those of least id hash.
+
+    Groups are counted first (summed up before the shuffle), and only rows whose hash is likely
+    to be among the least of their group go on to be ranked, so no group, however large, meets
+    in one task. df: doc_id and ``by``.
+    """
+    counts = df.groupBy(by).agg(F.count("*").alias("_n"))
+    if counts.count() <= 10_000:
+        counts = F.broadcast(counts)
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    likely = df.join(counts, by).where(chance * F.col("_n") < 1.5 * per_group + 50)
+    first = Window.partitionBy(by).orderBy(chance, "doc_id")
+    return likely.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_group).select("doc_id", by, F.col("_r").alias("place"))
+
+
 def texts_of(batches: Iterator[pa.RecordBatch], column: str = "text"):
     """(batch, its texts) with null read as empty."""
     for b in batches:

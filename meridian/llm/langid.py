@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import fold_of
+from meridian.llm.common import fold_of, hash_sample
 
 #: n-grams in a profile, and of a document that are compared with it.
 PROFILE = 400
@@ -79,8 +79,7 @@ def learn(documents: DataFrame, lang: str = "lang", per_lang: int = SAMPLE_PER_L
     known = documents.select("doc_id", "text", F.col(lang).alias("lang")).where(F.col("lang").isNotNull())
     if held_out:
         known = known.where(fold_of(F.col("doc_id"), held_out[0]) != held_out[1])
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang)
+    picked = hash_sample(known.select("doc_id", "lang"), "lang", per_lang)
     rows = known.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from meridian.llm.common import cut, mixed as mixed_bits
+from meridian.llm.common import cut, hash_sample
+from meridian.llm.common import mixed as mixed_bits
 
 SLOTS = 1 << 12
 #: Labelled documents of each domain, and in all, that the classifier is fitted on, at most.
@@ -66,9 +67,8 @@ def features(raw: bytes) -> np.ndarray:
 def learn(documents: DataFrame, labelled: DataFrame) -> SoftDomains:
     """labelled: doc_id, domain. Fits on a bounded sample of its documents, chosen by id hash."""
     known = labelled.where(F.col("domain").isNotNull()).select("doc_id", F.col("domain").cast("string").alias("domain"))
-    first = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_PER_DOMAIN)
-    picked = ranked.orderBy("n", "domain").limit(SAMPLE).select("doc_id", "domain").distinct()
+    ranked = hash_sample(known, "domain", SAMPLE_PER_DOMAIN)
+    picked = ranked.orderBy("place", "domain").limit(SAMPLE).select("doc_id", "domain").distinct()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -130,11 +130,13 @@ def with_next(documents: DataFrame) -> DataFrame:
     heads = docs.groupBy("_run").agg(F.max("doc_id").alias("head"))
     above = Window.orderBy(F.desc("_run"))  # a row for each range only
     heads = heads.select("head", F.col("_run").alias("from"), F.coalesce(F.lag("_run").over(above), F.min("_run").over(Window.partitionBy())).alias("_run"))
+    if stats["n"] // RUN * 64 <= 64 << 20:  # there are at most 2 * n / RUN ranges, of two numbers each
+        heads = F.broadcast(heads)
     first = (
         docs.select("doc_id", "text", F.col("_run").alias("from"))
         .join(heads, "from")
         .where(F.col("doc_id").eqNullSafe(F.col("head")))
-        .groupBy(heads["_run"], "doc_id")
+        .groupBy("_run", "doc_id")
         .agg(F.min("text").alias("text"))
     )
     ghosts = first.select("doc_id", "text", "_run", F.lit(True).alias("_ghost"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.llm.common import cut
-from meridian.llm.graph import components
+from meridian.operators.graph import components
 
 BITS = 3  # fingerprints link at so many differing bits or fewer
 LEAST_MATCHES = 8 - BITS
@@ -158,7 +158,7 @@ def hexadecimal(fp: Column) -> Column:
 def representatives(documents: DataFrame, width: int = 3) -> DataFrame:
     """One document of each group: the one of smallest id; of rows with that id, the least text.
 
-    A group without any id keeps its least text.
+    Documents without an id are one such row if no document of their group has one, else they go.
     """
     kept = groups(documents, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
