@@ -84,5 +84,6 @@ def parse(text: Column) -> Column:
     """A moment from text: an infinite sign or an ISO date and time with offset; null if neither."""
     token = F.trim(text)
     iso = token.rlike(r"^[+-]?\d{4,}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2}(:?\d{2})?)$")
-    finite = F.unix_micros(F.try_to_timestamp(F.when(iso, token)))
+    seconds = F.regexp_replace(token, r"T(\d{2}:\d{2})(?=Z|[+-])", "T$1:00")  # may be left out
+    finite = F.unix_micros(F.try_to_timestamp(F.when(iso, seconds)))
     return F.when(token.isin(INFINITE_TEXTS), PINF).when(token.isin(NEGATIVE_INFINITE_TEXTS), NINF).otherwise(finite)

@@ -69,6 +69,26 @@ def not_(*operands) -> Combine:
     return Combine("not", operands)
 
 
+def simplified(node):
+    """The same expression with nested and, or of one kind flattened and double negation undone.
+
+    A node with a fallback of its own stays as it is.
+    """
+    if isinstance(node, Select):
+        return node
+    operands = [simplified(x) for x in node.operands]
+    if node.operator in ("and", "or"):
+        flat = []
+        for x in operands:
+            nested = isinstance(x, Combine) and x.operator == node.operator and x.operands and x.fallback == ERROR
+            flat += x.operands if nested else [x]
+        operands = flat
+    only = operands[0] if len(operands) == 1 else None
+    if node.operator == "not" and isinstance(only, Combine) and only.operator == "not" and only.operands:
+        return simplified(Combine("or", only.operands, node.fallback))
+    return Combine(node.operator, tuple(operands), node.fallback)
+
+
 def unique_ids(rows: DataFrame) -> DataFrame:
     """container, id of ids that two collections share: there should be none. rows: container, id, tags."""
     return rows.groupBy(*BY, "id").agg(F.count("*").alias("n")).where("n > 1")
@@ -86,7 +106,7 @@ def combine(rows: DataFrame, *expression, domain: DataFrame | None = None) -> Da
     in a container follows its fallback there; ERROR raises as the plan runs.
     """
     keys = (domain if domain is not None else rows).select(*BY).distinct()
-    return sets.merge(_evaluate(rows, and_(*expression), keys, root=True), BY)
+    return sets.merge(_evaluate(rows, simplified(and_(*expression)), keys), BY)
 
 
 def _operands(rows: DataFrame, node, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +126,7 @@ def _operands(rows: DataFrame, node, keys: DataFrame, n: int) -> tuple[DataFrame
     return made.select(*BY, F.lit(f"{n}/").alias("operand"), "lo", "hi"), keys.withColumn("c", F.lit(1).cast("bigint"))
 
 
-def _evaluate(rows: DataFrame, node, keys: DataFrame, root: bool = False) -> DataFrame:
+def _evaluate(rows: DataFrame, node, keys: DataFrame) -> DataFrame:
     if isinstance(node, Select):
         node = Combine("and", (node,))
     if not node.operands:

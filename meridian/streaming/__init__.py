@@ -1 +1 @@
-
+"""Streaming forms of interval operators."""
