@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.operators.frames import placed
 from meridian.operators.sets import KEY
 
 
@@ -64,8 +65,7 @@ def multiplex(at: str, value: str, *frames: DataFrame, by: Sequence[str] = KEY)
 
 def index(df: DataFrame, column: str) -> DataFrame:
     """With ``index``, the place (from 0) of a row's value among the distinct values in order."""
-    number = df.select(column).distinct().withColumn("index", F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(number, column)
+    return df.join(placed(df.select(column).distinct(), [column], "index"), column)
 
 
 def pipeline(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:

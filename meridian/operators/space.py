@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import geo
+from meridian.operators.frames import placed
 from meridian.operators.graph import components
 
 Metric = Callable[[Column, Column, Column, Column], Column]
@@ -45,7 +46,7 @@ def tiles(od: DataFrame, max_origins: int, max_destinations: int) -> DataFrame:
 
     Places are numbered once for each distinct location, so only locations are put in order.
     """
-    number = lambda c, most: od.select(c).distinct().withColumn(f"tile_{c}", F.floor((F.row_number().over(Window.orderBy(c)) - 1) / most).cast("int"))
+    number = lambda c, most: placed(od.select(c).distinct(), [c]).select(c, F.floor(F.col("place") / most).cast("int").alias(f"tile_{c}"))
     return od.join(number("o", max_origins), "o").join(number("d", max_destinations), "d")
 
 
@@ -95,7 +96,7 @@ def clusters(locations: DataFrame, radius_m: int, similar: DataFrame | None = No
         links = links.join(kind("a"), "a").join(kind("b"), "b").where("a_kind <=> b_kind").select("a", "b")
     rooted = locations.select("id").distinct().join(components(links).withColumnRenamed("node", "id"), "id", "left")
     rooted = rooted.select("id", F.coalesce("root", "id").alias("root"))
-    numbers = rooted.select("root").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
+    numbers = placed(rooted.select("root").distinct(), ["root"]).select("root", F.col("place").cast("int").alias("cluster"))
     return rooted.join(numbers, "root").select("id", "cluster")
 
 

@@ -32,12 +32,17 @@ def remove(points: DataFrame, lo: int, hi: int, lower_inclusive: bool = True, up
     return points.where(~(low & high))
 
 
-def asof(queries: DataFrame, facts: DataFrame, payload: Sequence[str], by: Sequence[str] = KEY, how: str = "floor") -> DataFrame:
+def asof(queries: DataFrame, facts: DataFrame, payload: Sequence[str], by: Sequence[str] = KEY, how: str = "floor", slice_us: int | None = None) -> DataFrame:
     """Each query row (key columns, t, more) with ``found_t`` and the payload of the fact next to it.
 
     how: floor (at or before t), lower (before), ceiling (at or after), higher (after). One union,
     one shuffle, one sort; facts have one row for each key and t.
+
+    slice_us: look within time slices of this width first, so that a key with very many rows is
+    spread over tasks; where a slice has no such fact, the nearest slice's outermost one is it.
     """
+    if slice_us:
+        return _asof_sliced(queries, facts, payload, by, how, slice_us)
     back, ties_first = how in ("floor", "lower"), how in ("floor", "ceiling")
     rest = [c for c in queries.columns if c not in (*by, "t")]
     packed = F.struct(F.col("t").alias("found_t"), *payload)
@@ -49,6 +54,19 @@ def asof(queries: DataFrame, facts: DataFrame, payload: Sequence[str], by: Seque
     return rows.select(*by, "t", *[F.col(f"_q.{c}").alias(c) for c in rest], "_near.found_t", *[F.col(f"_near.{c}").alias(c) for c in payload])
 
 
+def _asof_sliced(queries: DataFrame, facts: DataFrame, payload: Sequence[str], by: Sequence[str], how: str, slice_us: int) -> DataFrame:
+    back, within = how in ("floor", "lower"), [*by, "_slice"]
+    of = F.floor(F.col("t") / slice_us)
+    near = asof(queries.withColumn("_slice", of), facts.withColumn("_slice", of), payload, within, how)
+    outer = (F.max_by if back else F.min_by)(F.struct(F.col("t").alias("found_t"), *payload), "t")
+    edges = facts.groupBy(*by, of.alias("t")).agg(outer.alias("_edge"))
+    asked = near.where("found_t is null").select(*by, F.col("_slice").alias("t")).distinct()
+    carried = asof(asked, edges, ["_edge"], by, "lower" if back else "higher").select(*by, F.col("t").alias("_slice"), "_edge")
+    rest = [c for c in near.columns if c not in ("_slice", "found_t", *payload)]
+    rows = near.join(carried, within, "left")
+    return rows.select(*rest, *[F.coalesce(F.when(F.col("found_t").isNotNull(), F.col(c)), F.when(F.col("found_t").isNull(), F.col(f"_edge.{c}"))).alias(c) for c in ("found_t", *payload)])
+
+
 def _type(facts: DataFrame, payload: Sequence[str]):
     return facts.select(F.struct(F.col("t").alias("found_t"), *payload).alias("f")).schema["f"].dataType
 

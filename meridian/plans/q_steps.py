@@ -220,4 +220,4 @@ def flow_multiplex(s, d):
 
 @query("SELECT s_suppkey AS id, CAST(dense_rank() OVER (ORDER BY s_nationkey) - 1 AS INTEGER) AS index FROM supplier")
 def flow_index(s, d):
-    return flow.index(tables.locations(s, d).select("id", "nation"), "nation").select("id", "index")
+    return flow.index(tables.locations(s, d).select("id", "nation"), "nation").select("id", C("index").cast("int").alias("index"))

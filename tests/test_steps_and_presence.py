@@ -56,10 +56,11 @@ def test_asof_against_plain_python(spark):
     asked = [(str(k), h(t), k * 100 + t) for k in range(6) for t in range(-1, 31)]
     queries = spark.createDataFrame(asked, "key string, t long, id int")
     for how, holds, best in (("floor", lambda f, t: f <= t, max), ("lower", lambda f, t: f < t, max), ("ceiling", lambda f, t: f >= t, min), ("higher", lambda f, t: f > t, min)):
-        found = {r["id"]: r["value"] for r in steps.asof(queries, points_frame(spark, facts), ["value"], how=how).collect()}
-        for k, t, i in asked:
-            near = [x for x in facts.get(k, []) if holds(h(x[0]), t)]
-            assert found[i] == (best(near)[1] if near else None)
+        for sliced in (None, 7 * HOUR):
+            found = {r["id"]: r["value"] for r in steps.asof(queries, points_frame(spark, facts), ["value"], how=how, slice_us=sliced).collect()}
+            for k, t, i in asked:
+                near = [x for x in facts.get(k, []) if holds(h(x[0]), t)]
+                assert found[i] == (best(near)[1] if near else None)
 
 
 def test_compact_and_remove(spark):
