@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 from meridian.operators.frames import cut, shared_dir  # noqa: F401
 
 
+def spare(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
-def text_column(df: DataFrame, name: str = "text") -> Column:
-    return F.coalesce(df[name], F.lit(""))
-
-
 class WordCodes(dict):
     """word -> shape hash (16 bits) << 32 | word hash (32 bits), remembered up to a size.
 
@@ -29,7 +33,7 @@ class WordCodes(dict):
     other character, so that invented words still show their form.
     """
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

@@ -102,10 +102,11 @@ def _softmax(x: np.ndarray, y: np.ndarray, k: int, steps: int = 200, decay: floa
 
 
 def with_posteriors(documents: DataFrame, model: SoftDomains, columns: list[str]) -> DataFrame:
-    """``columns`` of the documents, _tokens (words) and _p0, _p1, ... (posteriors)."""
+    """``columns`` of the documents under the names _c0, _c1, ..., with _tokens (words) and _p0, _p1, ... (posteriors)."""
     names = [f"_p{i}" for i in range(len(model.domains))]
+    kept = [f"_c{i}" for i in range(len(columns))]
     shared = documents.sparkSession.sparkContext.broadcast(vars(model))  # SLOTS numbers a domain
-    rows = documents.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("binary").alias("_raw"))
+    rows = documents.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(columns, kept)], F.col("text").cast("binary").alias("_raw"))
     schema = StructType([f for f in rows.schema.fields if f.name != "_raw"]).add("_tokens", LongType())
     for n in names:
         schema = schema.add(n, DoubleType())
@@ -116,7 +117,7 @@ def with_posteriors(documents: DataFrame, model: SoftDomains, columns: list[str]
             raw = [t.as_py() or b"" for t in b.column("_raw")]
             p = np.array([own.posterior(r) for r in raw]).reshape(len(raw), len(names))
             tokens = pa.array([len(r.split()) for r in raw], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), tokens, *(pa.array(p[:, i]) for i in range(len(names)))], [*columns, "_tokens", *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), tokens, *(pa.array(p[:, i]) for i in range(len(names)))], [*kept, "_tokens", *names])
 
     return rows.mapInArrow(scored, schema)
 
@@ -173,7 +174,7 @@ def rates(documents: DataFrame, labelled: DataFrame, weights: dict[str, float],
     table = cut(with_posteriors(documents, model, ["doc_id", "source"]))
     rate, report = fit_rates(table, model, weights, budget)
     posteriors = [F.col(f"_p{i}").alias(f"p_{d}") for i, d in enumerate(model.domains)]
-    rows = table.select("doc_id", "source", F.col("_tokens").alias("tokens"), *posteriors, rate.alias("rate"))
+    rows = table.select(F.col("_c0").alias("doc_id"), F.col("_c1").alias("source"), F.col("_tokens").alias("tokens"), *posteriors, rate.alias("rate"))
     return rows.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"))), report
 
 
@@ -181,6 +182,8 @@ def mixed(documents: DataFrame, labelled: DataFrame, weights: dict[str, float],
     """The documents as often as their rates say, with their own columns."""
     model = learn(documents, labelled)
     rate, _ = fit_rates(cut(with_posteriors(documents, model, ["doc_id"])), model, weights, budget)
-    rows = with_posteriors(documents, model, documents.columns)
-    many = rows.withColumn("_copies", copies_of(rate, F.col("doc_id"))).where("_copies > 0")
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    names = documents.columns
+    rows = with_posteriors(documents, model, names)
+    many = rows.withColumn("_copies", copies_of(rate, F.col(f"_c{names.index('doc_id')}"))).where("_copies > 0")
+    each = many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return each.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

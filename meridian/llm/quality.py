@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from meridian.llm.common import WordCodes, bounded_sample, fold_of, mixed, texts_of
+from meridian.llm.common import WordCodes, bounded_sample, fold_of, mixed, spare, texts_of
 
 SLOTS = 1 << 18
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -149,6 +149,7 @@ def classify(documents: DataFrame, model: NBSVM, folds: tuple[int, int] = (3, 1)
     )
 
 
-def accepted(documents: DataFrame, model: NBSVM, column: str = "_quality_score") -> DataFrame:
+def accepted(documents: DataFrame, model: NBSVM) -> DataFrame:
     """The documents that the model doesn't reject, with their own columns."""
+    column = spare(documents.columns, "score")
     return with_scores(documents, model, column).where(F.col(column) >= 0.5).drop(column)

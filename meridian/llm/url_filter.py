@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import cut, mixed
+from meridian.llm.common import cut, mixed, spare
 
 LEVEL_SCHEMA = "shard int, level int, hashes int, bits binary"
 
@@ -125,11 +125,12 @@ def with_listed(df: DataFrame, key: Column, cascade: DataFrame, shards: int, blo
             room = block_bytes
         blocks[-1][1] = shard
         room -= n
-    out = df.withColumn("_d", _digest(key)).withColumn(column, F.lit(False))
+    digest = spare([*df.columns, column], "digest")
+    out = df.withColumn(digest, _digest(key)).withColumn(column, F.lit(False))
     for first, last in blocks:
         rows = cascade.where(F.col("shard").between(first, last)).orderBy("shard", "level").collect()  # at most block_bytes
-        out = out.withColumn(column, F.col(column) | _asks(df.sparkSession.sparkContext.broadcast([tuple(r) for r in rows]), shards)(F.col("_d")))
-    return out.drop("_d")
+        out = out.withColumn(column, F.col(column) | _asks(df.sparkSession.sparkContext.broadcast([tuple(r) for r in rows]), shards)(F.col(digest)))
+    return out.drop(digest)
 
 
 def _asks(shared, shards: int):
@@ -157,10 +158,14 @@ def _asks(shared, shards: int):
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule and verdict: the longest rule's, else block if the host is listed."""
+    """``pages`` with host, path, rule and verdict: the longest rule's, else block if the host is listed.
+
+    Columns of these four names are replaced.
+    """
+    mark = spare(pages.columns, "listed")
     seen = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     cascade, shards = build(pages.select(host_of(F.col(url)).alias("key")), listed)
-    marked = with_listed(seen, F.col("host"), cascade, shards, column="_listed")
-    by_list = F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow"))
-    return marked.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, by_list)).drop("_listed")
+    marked = with_listed(seen, F.col("host"), cascade, shards, column=mark)
+    by_list = F.when(F.col(mark), F.lit("block")).otherwise(F.lit("allow"))
+    return marked.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, by_list)).drop(mark)
