@@ -40,6 +40,15 @@ def with_length(at: Column, duration: Column) -> Column:
     return try_interval(F.least(at, end), F.greatest(at, end))
 
 
+def bounds(lo: Column, hi: Column) -> Column:
+    return F.array(lo, hi)
+
+
+def in_zone(lo: Column, hi: Column, zone: str) -> Column:
+    """Both bounds as local times of a zone, for reading."""
+    return F.struct(M.in_zone(lo, zone).alias("lo"), M.in_zone(hi, zone).alias("hi"))
+
+
 def is_bounded(lo: Column, hi: Column) -> Column:
     return (lo > NINF) & (hi < PINF)
 

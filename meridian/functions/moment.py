@@ -27,6 +27,17 @@ def pinf() -> Column:
     return F.lit(PINF)
 
 
+def now() -> Column:
+    """The moment at which the query runs, one for all rows."""
+    return F.unix_micros(F.current_timestamp())
+
+
+def strict(parsed: Column, text: Column) -> Column:
+    """A parsed value; raises where a text that isn't null could not be parsed."""
+    bad = F.concat(F.lit("unable to parse: "), F.coalesce(text, F.lit("")))
+    return F.when(parsed.isNotNull() | text.isNull(), parsed).otherwise(F.raise_error(bad))
+
+
 def from_timestamp(ts: Column) -> Column:
     """A timestamp, with or without zone (then UTC), as a moment."""
     return F.unix_micros(ts.cast("timestamp"))

@@ -49,6 +49,11 @@ def first(df: DataFrame, order: str, by: Sequence[str] = KEY) -> DataFrame:
     return df.groupBy(*by).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*by, "r.*")
 
 
+def unfold(df: DataFrame, start: Column, step: Column, until: Column, name: str = "value") -> DataFrame:
+    """Each row as often as start, start + step, ... goes, up to ``until``."""
+    return df.withColumn(name, F.explode(F.sequence(start, until, step)))
+
+
 def concat(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -114,6 +114,29 @@ def free(windows: DataFrame, events: DataFrame, by: Sequence[str] = LAYER) -> Da
     return windows.join(events, met, "left_anti")
 
 
+def add_layer(layers: DataFrame, timeline: str, layer: str, kind: str, tags=None) -> DataFrame:
+    """layers (timeline, layer, kind, tags) with one more; raises as the plan runs if the id is taken."""
+    from meridian.functions import tags as T
+
+    if kind not in ALLOWED:
+        raise ValueError(f"there is no kind of layer {kind}")
+    new = layers.sparkSession.range(1).select(F.lit(timeline).alias("timeline"), F.lit(layer).alias("layer"), F.lit(kind).alias("kind"), (tags if tags is not None else F.array()).cast(T.TAGS).alias("tags"))
+    both = layers.unionByName(new)
+    n = F.count("*").over(Window.partitionBy("timeline", "layer"))
+    return both.withColumn("_n", n).where(F.assert_true(F.col("_n") == 1, "the layer's id is taken").isNull()).drop("_n")
+
+
+def remove_layer(rows: DataFrame, timeline: str, layer: str) -> DataFrame:
+    """Layers, or a log, without those of one layer."""
+    return rows.where(~((F.col("timeline") == timeline) & (F.col("layer") == layer)))
+
+
+def duplicate_layer(rows: DataFrame, timeline: str, layer: str, as_layer: str) -> DataFrame:
+    """Layers, or a log, with those of one layer once more under another id."""
+    own = rows.where((F.col("timeline") == timeline) & (F.col("layer") == layer))
+    return rows.unionByName(own.withColumn("layer", F.lit(as_layer)))
+
+
 def find_layers(layers: DataFrame, *wanted: tuple[str, str | None]) -> DataFrame:
     """Layers that have exactly all of the wanted tags. layers: timeline, layer, kind, tags."""
     from meridian.functions import tags as T

@@ -82,8 +82,8 @@ def test_daily_and_steps(spark):
 
 
 def test_errors(spark):
-    for bad in (I.interval(F.lit(2), F.lit(1)), M.clamp(F.lit(0), F.lit(2), F.lit(2)), I.align(F.col("id") + NINF, F.col("id"), F.lit(1), F.lit(I.STARTS))):
-        with pytest.raises(Exception, match="before|infinite"):
+    for bad in (I.interval(F.lit(2), F.lit(1)), M.clamp(F.lit(0), F.lit(2), F.lit(2)), I.align(F.col("id") + NINF, F.col("id"), F.lit(1), F.lit(I.STARTS)), M.strict(M.parse(F.lit("x")), F.lit("x"))):
+        with pytest.raises(Exception, match="before|infinite|parse"):
             one(spark, bad)
 
 

@@ -160,6 +160,15 @@ def test_lanes(spark):
         timeline.require(timeline.PRESENCE, "event")
 
 
+def test_layers(spark):
+    layers = spark.createDataFrame([("t", "a", timeline.INTERVAL, [("x", None)])], f"timeline string, layer string, kind string, tags {T.TAGS}")
+    more = timeline.duplicate_layer(timeline.add_layer(layers, "t", "b", timeline.MERGE), "t", "a", "c")
+    assert sorted(r["layer"] for r in more.collect()) == ["a", "b", "c"]
+    assert sorted(r["layer"] for r in timeline.find_layers(timeline.remove_layer(more, "t", "c"), ("x", None)).collect()) == ["a"]
+    with pytest.raises(Exception, match="taken"):
+        timeline.add_layer(layers, "t", "a", timeline.MERGE).collect()
+
+
 def test_lanes_never_overlap():
     r = random.Random(3)
     log = pd.DataFrame([("put" if r.random() < 0.8 else "remove", a, a + r.randrange(1, 9), r.choice("ab")) for _ in range(200) for a in [r.randrange(0, 90)]], columns=["op", "lo", "hi", "tag"])
@@ -241,5 +250,6 @@ def test_flow(spark):
     assert seen(flow.limit(df, 2, ["t"], skip=1)) == [("a", 1), ("a", 2)]
     assert flow.pairwise(df, ["v"], ["t"]).count() == 5 and flow.first(df, "t").count() == 2
     assert seen(flow.pipeline(lambda d: d.where("t > 0"), lambda d: flow.skip(d, 3, ["t"]))(df)) == [("a", 4), ("a", 5)]
+    assert flow.unfold(df.where("key = 'b'"), F.lit(1), F.lit(2), F.lit(7)).count() == 4
     met = flow.multiplex("t", "v", df, df).where("key = 'a' and t = 2").first()
     assert met["values"] == [9, 9]
