@@ -46,8 +46,8 @@ URLS = [
 
 
 def test_urls_against_plain_python(spark):
-    pages = spark.createDataFrame([(i, u, "extra") for i, u in enumerate(URLS * 2)], "page_id long, url string, host string")
-    got = {r["page_id"]: r for r in rows(url_filter.judge(pages.drop("host"), pages.select(F.lit("b.org").alias("key")), queries.RULES))}
+    pages = spark.createDataFrame([(i, u, "extra", 1, 2) for i, u in enumerate(URLS * 2)], "page_id long, url string, host string, listed int, digest int")
+    got = {r["page_id"]: r for r in rows(url_filter.judge(pages, pages.select(F.lit("b.org").alias("key")), queries.RULES))}
     for i, u in enumerate(URLS * 2):
         host, path = plain_url(u)
         fits = [(v, r) for v, r in queries.RULES if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
@@ -122,7 +122,7 @@ def test_held_out_accuracy(spark, medium, op, label, folds, fold, least):
 def test_classifier_edges(spark, module):
     label = "quality" if module is quality else "toxic"
     texts = ["good words here", "bad!! BAD!!", None, "", "good words here", "x " * 50_000]
-    table = docs(spark, texts).withColumn("score_extra", F.lit(1))
+    table = docs(spark, texts).withColumn("score", F.lit(1)).withColumn("predicted", F.lit(2))
     empty = spark.createDataFrame([], f"doc_id long, {label} int")
     for labels, expected in ((empty, 0.5), (spark.createDataFrame([(0, 1), (1, None), (2, 7)], f"doc_id long, {label} int"), 1.0)):
         got = rows(module.classify(table, module.train(table, labels, held_out=None)))
@@ -130,6 +130,7 @@ def test_classifier_edges(spark, module):
     both = spark.createDataFrame([(0, 1), (1, 0), (4, 1)], f"doc_id long, {label} int")
     got = module.classify(table, module.train(table, both, held_out=None)).collect()
     assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got)
+    assert module.accepted(table, module.train(table, both, held_out=None)).columns == table.columns
     assert module.classify(table.limit(0), module.train(table.limit(0), both)).count() == 0
 
 
@@ -164,7 +165,7 @@ def plain_groups(prints):
 def test_simhash_against_plain_python(spark, small):
     found = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
     texts = [r["text"] for r in found] + [None, "", "one", "ONE", "a b", " \t\x0b", "É é  x y", "a  b"]
-    table = docs(spark, texts).withColumn("fp", F.lit("clash"))
+    table = docs(spark, texts).withColumn("fp", F.lit("clash")).withColumn("place", F.lit(1)).withColumn("kept_id", F.lit(2))
     prints = [plain_print(t) for t in texts]
     got = {r["doc_id"]: r for r in rows(simhash.groups(table).withColumn("hex", simhash.hexadecimal(F.col("fp"))))}
     assert [got[i]["hex"] for i in range(len(texts))] == [f"{p:016x}" for p in prints]
@@ -200,6 +201,8 @@ def test_simhash_edges(spark):
     twice = docs(spark, ["a b c d", "a b c d"]).unionByName(docs(spark, ["a b c d"]))
     assert {r["component_id"] for r in simhash.groups(twice).collect()} == {0}
     assert simhash.representatives(twice).count() == 1
+    nameless = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "q r s t u"), (3, "q r s t u"), (None, None)], "doc_id long, text string")
+    assert sorted(simhash.representatives(nameless).collect(), key=repr) == [(3, "q r s t u"), (None, "a b c d"), (None, None)]
     long = ("lorem ipsum dolor " * 40_000) + "end"
     assert simhash.fingerprint(long.encode(), block=1000) == simhash.fingerprint(long.encode())
 
@@ -282,28 +285,41 @@ def test_bpe_against_library(coder):
         assert own.encode(t) == library.encode_ordinary(t)
 
 
-def test_stitching_is_exact(coder):
-    own, _ = coder
-    r = random.Random(6)
-    for n in range(1500):
+@pytest.mark.parametrize(("chunk", "overlap"), [(24, 8), (40, 20), (100, 5)])
+def test_stitching_is_exact(spark, coder, chunk, overlap):
+    r = random.Random(chunk)
+    texts = []
+    for n in range(500):
         some = ALPHABET if n % 2 else [*"a b'"]
-        t = "".join(r.choice(some) * (r.randrange(1, 30) if r.random() < 0.1 else 1) for _ in range(r.randrange(0, 200)))
-        chunk = r.randrange(16, 50)
-        assert bpe.pieces(t, own.pattern, chunk, r.randrange(6, chunk - 6)) == own.pattern.findall(t)
+        texts.append("".join(r.choice(some) * (r.randrange(1, 30) if r.random() < 0.1 else 1) for _ in range(r.randrange(0, 250))))
+    table = docs(spark, texts + texts[:20])  # repeated texts under other ids
+    table = table.unionByName(table.where("doc_id < 20"))  # and repeated rows
+    want = {i: coder[1].encode_ordinary(t) for i, t in enumerate(texts + texts[:20])}
+    got = bpe.encode(table, PATH, P.PATTERN, chunk, overlap).collect()
+    assert len(got) == 540 and all(x["ids"] == want[x["doc_id"]] for x in got)
+    seen = bpe.digests(table, PATH, P.PATTERN, chunk, overlap).collect()
+    assert len(seen) == 540
+    for x in seen:
+        assert x["n_tokens"] == len(want[x["doc_id"]])
+        assert x["ids_sha256"] == hashlib.sha256(" ".join(map(str, want[x["doc_id"]])).encode()).hexdigest()
+    long = max(texts, key=len)
+    assert bpe.encode(docs(spark, [long]), PATH, P.PATTERN, chunk, overlap).first()["ids"] == coder[1].encode_ordinary(long)
 
 
 def test_bpe_digests(spark, coder):
     texts = [None, "", "Hello world", "Hello world", "é" * 10, "word " * 20_000, "x" * 70_000]
-    table = docs(spark, texts).withColumn("ids_extra", F.lit(0))
+    table = docs(spark, texts).withColumn("ids", F.lit(0)).withColumn("n_tokens", F.lit("x")).withColumn("row", F.lit(1))
     got = {r["doc_id"]: r for r in rows(bpe.digests(table, PATH, P.PATTERN))}
     for i, t in enumerate(texts):
         ids = coder[1].encode_ordinary(t or "")
         assert got[i]["n_tokens"] == len(ids)
         assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
-    back = bpe.decode(bpe.encode(table, PATH, P.PATTERN), PATH, P.PATTERN)
-    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in back.collect())
+    back = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(bpe.encode(table, PATH, P.PATTERN), PATH, P.PATTERN).collect()}
+    assert back == {i: (t or "").encode() for i, t in enumerate(texts)}
     assert bpe.digests(table.limit(0), PATH, P.PATTERN).count() == 0
+    nameless = spark.createDataFrame([(None, "a b " * 20_000), (None, "a")], "doc_id long, text string")
+    assert sorted(r["n_tokens"] for r in bpe.digests(nameless, PATH, P.PATTERN).collect()) == [1, len(coder[1].encode_ordinary("a b " * 20_000))]
 
 
 # --- 9: order MinHash -----------------------------------------------------------------------------
@@ -405,11 +421,11 @@ def test_mixing_goes_to_zero(spark):
 def test_mixing_edges(spark):
     table = docs(spark, [None, "", "abc abc", "abd", "abd"]).withColumn("_p0", F.lit(9)).withColumn("rate", F.lit("x"))
     none = spark.createDataFrame([], "doc_id long, domain string")
-    got, _ = mixing.rates(table.drop("_p0", "rate"), none, {"en": 1.0})
+    got, _ = mixing.rates(table, none, {"en": 1.0})
     assert {r["rate"] for r in got.collect()} == {1.0}
-    same = mixing.mixed(table.drop("_p0"), none, {"en": 1.0})
-    assert same.columns == table.drop("_p0").columns and same.count() == 5
-    assert mixing.mixed(table.drop("_p0").limit(0), none, {"en": 1.0}).count() == 0
+    same = mixing.mixed(table, none, {"en": 1.0})
+    assert same.columns == table.columns and same.count() == 5
+    assert mixing.mixed(table.limit(0), none, {"en": 1.0}).count() == 0
 
 
 # --- SQL and pipeline -----------------------------------------------------------------------------
