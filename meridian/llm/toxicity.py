@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from meridian.llm.common import bounded_sample, fold_of, texts_of
+from meridian.llm.common import bounded_sample, fold_of, spare, texts_of
 
 SLOTS = 1 << 22
 FACTORS = 4
@@ -47,7 +47,7 @@ def slots_of(word: str) -> tuple[int, ...]:
 class Terms(dict):
     """word -> its slots (places in ``kept``, if given), remembered up to a size."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, kept: np.ndarray | None = None):
         self.places = None if kept is None else {int(s): i for i, s in enumerate(kept)}
@@ -98,12 +98,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: floa
     if not n[1.0] or not n[-1.0]:
         sure = 0.0 if not len(rows) else 30.0 * float(y[0])
         return FactorizationMachine(np.empty(0, np.int32), np.empty(0), sure, np.empty(0), np.empty((0, FACTORS)))
-    counts = {s: np.bincount(np.concatenate([np.empty(0, np.int32), *(r for r, of in zip(rows, y) if of == s)]), minlength=SLOTS) for s in n}
+    met, at = np.unique(np.concatenate(rows), return_inverse=True)
+    of = np.repeat(y, [len(r) for r in rows])
+    counts = {s: np.bincount(at[of == s], minlength=len(met)) for s in n}
     odds = np.log((counts[1.0] + 0.5) / (n[1.0] - counts[1.0] + 0.5)) - np.log((counts[-1.0] + 0.5) / (n[-1.0] - counts[-1.0] + 0.5))
     error = np.sqrt(1 / (counts[1.0] + 0.5) + 1 / (counts[-1.0] + 0.5))
-    kept = np.where((np.abs(odds) >= STANDARD_ERRORS * error) & (counts[1.0] + counts[-1.0] > 1))[0].astype(np.int32)
+    tells = (np.abs(odds) >= STANDARD_ERRORS * error) & (counts[1.0] + counts[-1.0] > 1)
+    kept, odds = met[tells].astype(np.int32), odds[tells]
     order = np.random.default_rng(11)
-    m = FactorizationMachine(kept, np.minimum(np.abs(odds[kept]), 4.0) / 4.0, 0.0, np.zeros(len(kept)), order.normal(0, 0.05, (len(kept), FACTORS)))
+    m = FactorizationMachine(kept, np.minimum(np.abs(odds), 4.0) / 4.0, 0.0, np.zeros(len(kept)), order.normal(0, 0.05, (len(kept), FACTORS)))
     places = []
     for r in rows:
         at = np.searchsorted(kept, r)
@@ -182,6 +185,7 @@ def classify(documents: DataFrame, model: FactorizationMachine, folds: tuple[int
     )
 
 
-def accepted(documents: DataFrame, model: FactorizationMachine, column: str = "_toxic_score") -> DataFrame:
+def accepted(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
     """The documents that the model doesn't reject, with their own columns."""
+    column = spare(documents.columns, "score")
     return with_scores(documents, model, column).where(F.col(column) < 0.5).drop(column)
