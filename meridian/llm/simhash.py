@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import cut
+from meridian.llm.common import cut, spare, texts_of
 from meridian.operators.graph import components
 
 BITS = 3  # fingerprints link at so many differing bits or fewer
@@ -64,8 +64,8 @@ def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every document."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [fingerprint(t.as_py() or b"", width) for t in b.column("text")]
+        for b, texts in texts_of(batches):
+            fps = [fingerprint(t, width) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(found, "doc_id long, fp long")
@@ -140,15 +140,19 @@ def spanning(fps: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def groups(documents: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable) of every document."""
-    prints = cut(fingerprints(documents, width))
+def _named(prints: DataFrame) -> DataFrame:
+    """fp, root, component_id of every distinct fingerprint."""
     smallest = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(smallest.select("fp")))
     rooted = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
+def groups(documents: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable) of every document."""
+    prints = cut(fingerprints(documents, width))
+    return prints.join(_named(prints), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -158,9 +162,25 @@ def hexadecimal(fp: Column) -> Column:
 def representatives(documents: DataFrame, width: int = 3) -> DataFrame:
     """One document of each group: the one of smallest id; of rows with that id, the least text.
 
-    Documents without an id are one such row if no document of their group has one, else they go.
+    Of a group without any id, the least text. Texts are shuffled once, by doc_id.
     """
-    kept = groups(documents, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text"), *[F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")])
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    columns = documents.columns
+    mine, place, fp, root = (spare(columns, c) for c in ("kept_id", "place", "fp", "root"))
+    prints = cut(fingerprints(documents, width))
+    named = cut(_named(prints))
+    kept = prints.join(named, "fp").where("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
+    rest = [F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")]
+    chosen = documents.join(kept, F.col("doc_id") == F.col(mine), "left_semi")
+    chosen = chosen.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *rest)))
+    without = documents.where("doc_id is null").withColumn(fp, _fingerprint_of(width)(F.col("text").cast("binary")))
+    nameless = named.where("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root))
+    nameless = without.join(nameless, fp).withColumn(place, F.row_number().over(Window.partitionBy(root).orderBy("text", *rest)))
+    return chosen.unionByName(nameless.drop(fp, root)).where(F.col(place) == 1).drop(place)
+
+
+def _fingerprint_of(width: int):
+    @F.pandas_udf("long")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t or b"", width) for t in texts], dtype="int64")
+
+    return found
