@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import cut
+from meridian.llm.common import cut, each, texts_of
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
@@ -125,7 +125,7 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder(dict):
     """pre-token -> (its ids, their decimal text, their bytes), remembered up to a size."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -180,8 +180,8 @@ def _segments(job: _Job) -> DataFrame:
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = regex.compile(pattern)
-        for b in batches:
-            found = [marks(t, s, m, own, chunk, overlap) for t, s, m in zip(*(b.column(c).to_pylist() for c in ("text", "start", "n")))]
+        for b, texts in texts_of(batches):
+            found = [marks(t, s, m, own, chunk, overlap) for t, s, m in zip(texts, *(b.column(c).to_pylist() for c in ("start", "n")))]
             bounds = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "no", "start", "n")), *bounds], ["row", "no", "start", "n", "heads", "tails"])
 
@@ -206,8 +206,8 @@ def _long_ids(job: _Job) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(raw.value, pattern)
-        for b in batches:
-            ids = pa.array([np.array(own.encode(t), np.int32).tobytes() for t in b.column("text").to_pylist()], pa.binary())
+        for b, texts in texts_of(batches):
+            ids = pa.array([np.array(own.encode(t), np.int32).tobytes() for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "segment")), ids], ["row", "doc_id", "segment", "ids"])
 
     return _segments(job).mapInArrow(encoded, "row long, doc_id long, segment long, ids binary")
@@ -220,8 +220,8 @@ def encode(documents: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ov
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(raw.value, pattern)
-        for b in batches:
-            ids = pa.array([own.encode(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
+        for b, texts in texts_of(batches):
+            ids = pa.array([np.array(own.encode(t), np.int32) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
@@ -240,7 +240,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(raw.value, pattern)
         for b in batches:
-            found = pa.array([own.decode(i or []) for i in b.column("ids").to_pylist()], pa.binary())
+            found = pa.array([own.decode(i) for i in each(b.column("ids"))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), found], ["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, decoded binary")
@@ -256,9 +256,9 @@ def digests(documents: DataFrame, path: str, pattern: str, chunk: int = CHUNK, o
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(raw.value, pattern)
-        for b in batches:
+        for b, texts in texts_of(batches):
             counts, ids_sha, text_sha = [], [], []
-            for t in b.column("text").to_pylist():
+            for t in texts:
                 found = own.pieces(t)
                 ids, said, raw_bytes = zip(*found) if found else ((), (), ())
                 counts.append(sum(map(len, ids)))

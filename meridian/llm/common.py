@@ -33,7 +33,7 @@ class WordCodes(dict):
     other character, so that invented words still show their form.
     """
 
-    LIMIT = 250_000
+    LIMIT = 150_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -94,6 +94,17 @@ def hash_sample(df: DataFrame, by: str, per_group: int) -> DataFrame:
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], column: str = "text"):
-    """(batch, its texts) with null read as empty."""
+    """(batch, its texts one by one) with null read as empty.
+
+    Only one text at a time is a Python object, and a batch's buffers are given back after it.
+    """
     for b in batches:
-        yield b, [t or "" for t in b.column(column).to_pylist()]
+        yield b, each(b.column(column))
+        del b
+        pa.default_memory_pool().release_unused()
+
+
+def each(column: pa.Array):
+    """A column's values one by one, null as the empty text."""
+    empty = b"" if pa.types.is_binary(column.type) else ""
+    return (t.as_py() or empty for t in column)

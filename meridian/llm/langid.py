@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import fold_of, hash_sample
+from meridian.llm.common import fold_of, hash_sample, texts_of
 
 #: n-grams in a profile, and of a document that are compared with it.
 PROFILE = 400
@@ -84,10 +84,10 @@ def learn(documents: DataFrame, lang: str = "lang", per_lang: int = SAMPLE_PER_L
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
-        for b in batches:
+        for b, texts in texts_of(batches):
             held: dict[str, list] = {}
-            for t, name in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                held.setdefault(name, []).append(grams(t or "", letters))
+            for t, name in zip(texts, b.column("lang").to_pylist()):
+                held.setdefault(name, []).append(grams(t, letters))
             for name, found in held.items():
                 codes, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([f[1] for f in found]), len(codes)).astype(np.int64)
@@ -110,8 +110,8 @@ def identify(documents: DataFrame, profiles: Profiles, folds: tuple[int, int] =
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, own = letter_table(), Profiles(**shared.value)
-        for b in batches:
-            found = [own.predict(ranked(*grams(t or "", letters))) for t in b.column("text").to_pylist()]
+        for b, texts in texts_of(batches):
+            found = [own.predict(ranked(*grams(t, letters))) for t in texts]
             names, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), names, scores], ["doc_id", "lang_pred", "score"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from meridian.llm.common import cut, hash_sample
+from meridian.llm.common import cut, each, hash_sample, texts_of
 from meridian.llm.common import mixed as mixed_bits
 
 SLOTS = 1 << 12
@@ -71,8 +71,8 @@ def learn(documents: DataFrame, labelled: DataFrame) -> SoftDomains:
     picked = ranked.orderBy("place", "domain").limit(SAMPLE).select("doc_id", "domain").distinct()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [features(t.as_py() or b"").astype(np.float32).tobytes() if len(t.as_py() or b"") > 1 else b"" for t in b.column("text")]
+        for b, texts in texts_of(batches):
+            x = [features(t).astype(np.float32).tobytes() if len(t) > 1 else b"" for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("domain"), pa.array(x, pa.binary())], ["doc_id", "domain", "x"])
 
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # at most SAMPLE rows
@@ -106,7 +106,9 @@ def with_posteriors(documents: DataFrame, model: SoftDomains, columns: list[str]
     names = [f"_p{i}" for i in range(len(model.domains))]
     kept = [f"_c{i}" for i in range(len(columns))]
     shared = documents.sparkSession.sparkContext.broadcast(vars(model))  # SLOTS numbers a domain
-    rows = documents.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(columns, kept)], F.col("text").cast("binary").alias("_raw"))
+    more = [] if "text" in columns else [F.col("text").alias("_raw")]
+    rows = documents.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(columns, kept)], *more)
+    text = "_raw" if more else kept[columns.index("text")]
     schema = StructType([f for f in rows.schema.fields if f.name != "_raw"]).add("_tokens", LongType())
     for n in names:
         schema = schema.add(n, DoubleType())
@@ -114,9 +116,9 @@ def with_posteriors(documents: DataFrame, model: SoftDomains, columns: list[str]
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = SoftDomains(**shared.value)
         for b in batches:
-            raw = [t.as_py() or b"" for t in b.column("_raw")]
-            p = np.array([own.posterior(r) for r in raw]).reshape(len(raw), len(names))
-            tokens = pa.array([len(r.split()) for r in raw], pa.int64())
+            found = [(len(r.split()), own.posterior(r)) for r in each(b.column(text).cast(pa.binary()))]
+            p = np.array([f[1] for f in found]).reshape(len(found), len(names))
+            tokens = pa.array([f[0] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), tokens, *(pa.array(p[:, i]) for i in range(len(names)))], [*kept, "_tokens", *names])
 
     return rows.mapInArrow(scored, schema)
