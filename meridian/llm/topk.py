@@ -9,8 +9,9 @@ bitmap is left for each weight. The sum's slices are then walked from the most s
 down to select the rows; rows that tie at the boundary are resolved exactly by vec_id. Sums are
 whole numbers, so nothing is lost.
 
-Blocks of vectors meet blocks of queries on the block's number; each pair is a task's work of
-fixed size. Only k rows for each query and block go on.
+A block's index is built once and written to the shared folder. Packs of queries are sent to
+every block, and all that a block's task gets is answered from one copy of its index; a block with
+very many queries is dealt to several tasks. Only k rows for each query and block go on.
 
 Defined results: vectors that are null, or hold a null or non-finite component, or whose id is
 null, take no part; of rows with one id a query uses the least vector, and all rows of its id are
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 from meridian.llm.common import cut
 
 BLOCK = 1 << 15
+#: Queries in a pack, and the most that one task is to answer for a block.
 QUERIES = 64
+TASK_QUERIES = 1 << 14
 SCALE = 1024
+INDEX = "block int, ids binary, low binary, bits binary, slices binary"
 
 
 def quantised(vector: Column) -> Column:
@@ -54,6 +58,21 @@ class Slices:
         self.valid = self._packed(np.ones((self.rows, 1), bool))[0]
         self.slices = [self._packed((span[:, d : d + 1] >> np.arange(b)) & 1) for d, b in enumerate(self.bits)]
 
+    @classmethod
+    def read(cls, rows: int, low: bytes, bits: bytes, slices: bytes) -> Slices:
+        own = cls.__new__(cls)
+        own.rows, own.low, own.bits = rows, np.frombuffer(low, np.int64), [int(b) for b in np.frombuffer(bits, np.int32)]
+        own.dims, own.words = len(own.low), -(-rows // 64)
+        own.valid = own._packed(np.ones((rows, 1), bool))[0]
+        flat = np.frombuffer(slices, np.uint64).reshape(-1, own.words)
+        own.slices = np.split(flat, np.cumsum(own.bits)[:-1]) if own.bits else []
+        return own
+
+    def written(self) -> tuple[bytes, bytes, bytes]:
+        """low, bits and slices as bytes."""
+        flat = np.concatenate(self.slices) if self.slices else np.empty((0, self.words), np.uint64)
+        return self.low.astype(np.int64).tobytes(), np.array(self.bits, np.int32).tobytes(), flat.tobytes()
+
     def _packed(self, bits: np.ndarray) -> np.ndarray:
         packed = np.packbits(bits.astype(bool), axis=0, bitorder="little").T
         out = np.zeros((packed.shape[0], 8 * self.words), np.uint8)
@@ -138,41 +157,62 @@ def _matrix(lists: list, dims: int) -> np.ndarray:
     return out
 
 
+def usable(vectors: DataFrame, is_query: Column, vector: str = "embedding") -> DataFrame:
+    """vec_id, q (the quantised vector), asks of the rows that take part, written once."""
+    rows = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", quantised(F.col(vector)).alias("q"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    return cut(rows.where("q is not null"))
+
+
+def build(rows: DataFrame, blocks: int) -> DataFrame:
+    """The bit-sliced index of all rows (vec_id, q): a row for each block."""
+    # by place in the written table too, so equal rows spread over blocks
+    of = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    held = rows.select("vec_id", "q").withColumn("block", of).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "q"))).alias("rows"))  # about BLOCK each
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, block in enumerate(b.column("block").to_pylist()):
+                rows = b.column("rows")[i].values
+                lists = rows.field("q")
+                lengths = lists.value_lengths().to_numpy()
+                width = int(lengths.max(initial=0))
+                values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(lengths), width) if (lengths == width).all() else _matrix(lists.to_pylist(), width)
+                made = [[block], [rows.field("vec_id").to_numpy().tobytes()], *([x] for x in Slices(values).written())]
+                kinds = [pa.int32(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds)], ["block", "ids", "low", "bits", "slices"])
+
+    return cut(held.mapInArrow(sliced, INDEX))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best among all other rows."""
-    usable = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", quantised(F.col(vector)).alias("q"), is_query.alias("asks"))
-    usable = cut(usable.where("q is not null"))
-    blocks = -(-usable.count() // BLOCK)
-    if not blocks:
-        return usable.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "vec_id as score").where("false")
-    of = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")
-    asking = usable.where("asks").groupBy("vec_id").agg(F.min("q").alias("q"))
-    packs = -(-asking.count() // QUERIES)
-    pack = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(max(1, packs))).cast("int")
+    rows = usable(vectors, is_query, vector)
+    asking = rows.where("asks").groupBy("vec_id").agg(F.min("q").alias("q"))
+    blocks, n = -(-rows.count() // BLOCK), asking.count()
+    if not n:
+        return rows.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "vec_id as score").where("false")
+    packs = -(-n // QUERIES)
+    splits = max(-(-n // TASK_QUERIES), min(packs, -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks)))
+    pack = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(packs)).cast("int")
     packed = asking.groupBy(pack.alias("pack")).agg(F.collect_list(F.struct("vec_id", "q")).alias("queries"))  # about QUERIES each
-    asked = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = usable.groupBy(of.alias("block")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "q"))).alias("rows"))  # about BLOCK each
-    pairs = asked.join(held.hint("merge"), "block").repartition("block", "pack")
+    asked = packed.select((F.col("pack") % splits).alias("split"), "queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    index = build(rows, blocks).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    pairs = asked.join(index.hint("merge"), ["block", "split"]).select("block", "queries", "ids", "low", "bits", "slices")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index, ids = None, None, None
+        last, own, ids = None, None, None
         for b in batches:
             for i, block in enumerate(b.column("block").to_pylist()):
-                rows, queries = b.column("rows")[i].values, b.column("queries")[i].values
-                asked_q = queries.field("q").to_pylist()
                 if block != last:
-                    lists = rows.field("q")
-                    lengths = lists.value_lengths().to_numpy()
-                    width = int(lengths.max(initial=0))
-                    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                    values = flat.reshape(len(lengths), width) if (lengths == width).all() else _matrix(lists.to_pylist(), width)
-                    index, ids, last = Slices(values), rows.field("vec_id").to_numpy(), block
-                out = []
-                for query_id, q in zip(queries.field("vec_id").to_pylist(), asked_q):
-                    q = (q + [0] * index.dims)[: index.dims]
-                    out += [(query_id, *x) for x in index.top(np.array(q, np.int64), k, ids, query_id)]
+                    raw = [b.column(c)[i].as_py() for c in ("ids", "low", "bits", "slices")]
+                    ids, last = np.frombuffer(raw[0], np.int64), block
+                    own = Slices.read(len(ids), *raw[1:])
+                queries, out = b.column("queries")[i].values, []
+                for query_id, q in zip(queries.field("vec_id").to_pylist(), queries.field("q").to_pylist()):
+                    q = (q + [0] * own.dims)[: own.dims]
+                    out += [(query_id, *x) for x in own.top(np.array(q, np.int64), k, ids, query_id)]
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64"), preserve_index=False)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = pairs.select("block", "queries", "rows").mapInArrow(found, "query_id long, vec_id long, score long")
+    near = pairs.mapInArrow(found, "query_id long, vec_id long, score long")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
