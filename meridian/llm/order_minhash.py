@@ -1,15 +1,17 @@
 """Document fingerprints by order MinHash, with DataFrame functions only.
 
-K-mers are runs of ``K`` words, numbered by occurrence: the second time a run occurs it counts
+K-mers are runs of ``K`` words (of ``CHARS`` code points in texts of up to ``SHORT`` of them, where
+one edit touches most word runs), numbered by occurrence: the second time a run occurs it counts
 as another k-mer. In each of ``ORDERS`` hash orders the ``PICKED`` least k-mers are selected,
 put back in their order in the text, and their tuple is hashed; the hashes are the signature.
 Equal places of two signatures tell how alike two texts are in content and in order, which
 follows edit distance. The orders are applied to the k-mers whose content hash is among the
-``DISTINCT`` least of the text (a consistent sample, with all occurrences), so the cost for
-each order does not grow with the text.
+``DISTINCT`` least of the text, and to those that make up a good part of it, with all their
+occurrences: a consistent sample, so that the cost of an order doesn't grow with the number of
+different k-mers.
 
 Defined results: a null text is the empty text, whose signature is all zeros, like that of any
-text without a word; a text of fewer than ``K`` words has one k-mer; equal texts have equal
+longer text without a word; a text shorter than a run has one k-mer; equal texts have equal
 signatures. Documents follow one another by descending doc_id (nulls last), rows of one id by
 text; the last is followed by the first, a single document by itself.
 """
@@ -22,9 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 2
+CHARS = 4
+SHORT = 200
 ORDERS = 32
 PICKED = 2
 DISTINCT = 64
+STEPS = 32
 #: Documents that are put in order in one group, about.
 RUN = 400
 
@@ -34,16 +39,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _mask(order: int) -> int:
-    """A fixed 64-bit word for each hash order, as a signed long."""
-    x = (order + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-    x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 % (1 << 64)
-    x ^= x >> 29
-    return x - (1 << 64) if x >> 63 else x
-
-
 def kmers(text: Column) -> Column:
-    """Content hashes of a text's word runs, in order."""
+    """Content hashes of a text's runs, in order."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
@@ -53,16 +50,26 @@ def kmers(text: Column) -> Column:
         pairs = F.zip_with(F.slice(h, 1, F.greatest(n, F.lit(1))), later, lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(0))))
         return F.when(n > 0, pairs).otherwise(F.array().cast("array<bigint>"))
 
-    return let(hashes, runs)
+    n = F.length(text)
+    spots = F.sequence(F.lit(1), F.greatest(F.lit(1), n - (CHARS - 1)))
+    short = F.transform(spots, lambda i: F.xxhash64(F.substring(text, i, F.lit(CHARS))))
+    return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= SHORT, short).otherwise(let(hashes, runs))
 
 
 def sampled(hashes: Column) -> Column:
     """Occurrence-numbered k-mers of the sample: array of (key, pos), by content."""
 
+    def heavy(h: Column) -> Column:
+        """Contents that fill a step of the sorted hashes: all that make up a 16th, none under a 32nd."""
+        step = F.greatest(F.lit(1), F.floor(F.size(h) / STEPS).cast("int"))
+        spots = F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda j: F.when(F.get(h, j * step) == F.get(h, (j + 1) * step), F.get(h, j * step)))
+        return F.array_distinct(F.filter(spots, lambda x: x.isNotNull()))
+
     def kept(h: Column) -> Column:
-        least = F.slice(F.sort_array(F.array_distinct(h)), 1, DISTINCT)
         at = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("pos")))
-        return let(least, lambda d: F.struct(d.alias("d"), F.sort_array(F.filter(at, lambda x: x["h"] <= F.element_at(d, -1))).alias("s")))
+        picked = let(F.sort_array(h), lambda o: F.struct(F.slice(F.array_distinct(o), 1, DISTINCT).alias("least"), heavy(o).alias("heavy")))
+        chosen = lambda p, x: (x["h"] <= F.element_at(p["least"], -1)) | F.array_contains(p["heavy"], x["h"])
+        return let(picked, lambda p: F.struct(F.array_union(p["least"], p["heavy"]).alias("d"), F.sort_array(F.filter(at, lambda x: chosen(p, x))).alias("s")))
 
     def numbered(x: Column) -> Column:
         return let(
@@ -81,14 +88,14 @@ def signature(text: Column) -> Column:
     """ORDERS hashes of a text, as an array of longs."""
 
     def each(entries: Column) -> Column:
-        return F.array(*(_tuple(entries, _mask(t)) for t in range(ORDERS)))
+        return F.array(*(_tuple(entries, t) for t in range(ORDERS)))
 
     return let(sampled(kmers(text)), lambda e: F.when(F.size(e) > 0, each(e)).otherwise(F.array_repeat(F.lit(0).cast("long"), ORDERS)))
 
 
-def _tuple(entries: Column, mask: int) -> Column:
+def _tuple(entries: Column, order: int) -> Column:
     """The hash of one order's least entries, in text order."""
-    masked = F.transform(entries, lambda e: F.struct(e["key"].bitwiseXOR(F.lit(mask)).alias("key"), e["pos"].alias("pos")))
+    masked = F.transform(entries, lambda e: F.struct(F.xxhash64(e["key"], F.lit(order).cast("bigint")).alias("key"), e["pos"].alias("pos")))
 
     def picked(m: Column) -> Column:
         def with_next(first: Column) -> Column:

@@ -336,12 +336,17 @@ def plain_signature(text):
     import re
 
     words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
-    if not words:
+    if not (words if len(text) > order_minhash.SHORT else text):
         return [0] * order_minhash.ORDERS
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words]
-    grams = [spark_hash(a, b) for a, b in zip(h, h[1:])] or [spark_hash(h[0], 0)]
+    grams = [spark_hash(a, b) for a, b in zip(h, h[1:])] or [spark_hash(x, 0) for x in h]
+    if len(text) <= order_minhash.SHORT:
+        size = order_minhash.CHARS
+        grams = [signed(xxhash.xxh64_intdigest(text[i : i + size].encode(), 42)) for i in range(max(1, len(text) - size + 1))]
+    ordered, step = sorted(grams), max(1, len(grams) // order_minhash.STEPS)
     keep = set(sorted(set(grams))[: order_minhash.DISTINCT])
+    keep |= {ordered[j * step] for j in range(order_minhash.STEPS) if (j + 1) * step < len(grams) and ordered[j * step] == ordered[(j + 1) * step]}
     seen, entries = {}, []
     for pos, g in enumerate(grams):
         if g in keep:
@@ -349,14 +354,14 @@ def plain_signature(text):
             seen[g] = seen.get(g, 0) + 1
     out = []
     for t in range(order_minhash.ORDERS):
-        least = sorted((k ^ order_minhash._mask(t), pos) for k, pos in entries)[: order_minhash.PICKED]
+        least = sorted((spark_hash(k, t), pos) for k, pos in entries)[: order_minhash.PICKED]
         out.append(spark_hash(*(k for k, _ in sorted(least, key=lambda e: e[1]))))
     return out
 
 
 def test_order_minhash_against_plain_python(spark, small):
     found = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
-    texts = [r["text"] for r in found][:60] + [None, "", "one", "a a a a b b a a", "x y", "x y", "word " * 3000, "  "]
+    texts = [r["text"] for r in found][:60] + [None, "", "one", "a a a a b b a a", "x y", "x y", "word " * 3000, "  ", " " * 300, "é😀" * 90, "w" * 500, " ".join(f"w{i % 7 * i}" for i in range(900))]
     table = docs(spark, texts, first=-3).withColumn("_run", F.lit(5))
     got = {r["doc_id"]: r for r in rows(order_minhash.compare(table))}
     texts = [t or "" for t in texts]
@@ -377,7 +382,7 @@ def test_order_minhash_tells_edits(spark, medium):
     got = queries.op9_order_minhash(spark, medium).toPandas()
     assert len(got) == 1000
     assert got["near_edited"].mean() > got["near_next"].mean() + 0.2
-    assert (got["near_edited"] > got["near_next"]).mean() > 0.9
+    assert (got["near_edited"] > got["near_next"]).mean() > 0.98
 
 
 @pytest.mark.parametrize("run", [400, 1, 2])
