@@ -123,27 +123,35 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """pre-token -> (its ids, their decimal text, their bytes), remembered up to a size."""
+    """pre-token -> (its ids, their decimal text, their bytes), remembered up to a size.
 
-    LIMIT = 200_000
+    When the memory is full it becomes the older one, from which what is met again is taken over,
+    so frequent pre-tokens stay.
+    """
+
+    LIMIT = 140_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.older: dict[str, tuple[tuple[int, ...], bytes, bytes]] = {}
 
-    def __missing__(self, piece: str) -> tuple[list[int], bytes, bytes]:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        ids = merged(piece.encode(), self.ranks)
-        found = ids, " ".join(map(str, ids)).encode(), self.decode(ids)
+    def __missing__(self, piece: str) -> tuple[tuple[int, ...], bytes, bytes]:
+        found = self.older.get(piece)
+        if found is None:
+            ids = tuple(merged(piece.encode(), self.ranks))  # tuples of numbers and bytes cost the garbage collector nothing
+            found = ids, " ".join(map(str, ids)).encode(), self.decode(ids)
         if len(piece) <= 64:
+            if len(self) >= self.LIMIT:
+                self.older = dict(self)
+                self.clear()
             self[piece] = found
         return found
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
-    def pieces(self, text: str) -> list[tuple[list[int], bytes, bytes]]:
+    def pieces(self, text: str) -> list[tuple[tuple[int, ...], bytes, bytes]]:
         return [*map(self.__getitem__, self.pattern.findall(text))]
 
     def encode(self, text: str) -> list[int]:
