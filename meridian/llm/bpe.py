@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.common import cut, each, texts_of
 
-CHUNK = 1 << 15
+CHUNK = 1 << 16
 OVERLAP = 1 << 10
 #: Code points before a cut within which a boundary may depend on what was cut off.
 UNSURE = 4
@@ -129,7 +129,7 @@ class Encoder(dict):
     so frequent pre-tokens stay.
     """
 
-    LIMIT = 140_000
+    LIMIT = 160_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
