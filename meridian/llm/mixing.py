@@ -6,19 +6,21 @@ rate says how often it is to be used. Rates start at 1 and are fitted by project
 steps on the least squares between the expected tokens of each domain, the sum of
 rate * tokens * posterior, and its target; after each step negative rates become 0. The
 gradient is taken in the metric of the domains' token covariance over the documents that are
-not at 0, so a handful of steps is enough. Only sums over domains reach the driver: each
+not at 0, so a handful of steps is enough; where that doesn't lower the error, in the metric over all
+documents, in which a step never raises it. Only sums over domains reach the driver: each
 step is one pass over the table, and a document's rate is an expression of its posteriors and
 the steps so far.
 
 Defined results: a null or empty text has no tokens, the classifier's prior as its posterior,
 and takes part like any other; labels that are null are not learned from; without a labelled
 document there is one domain, ``unlabelled``; weights of domains that the classifier doesn't know
-are left out and the rest scaled to sum 1; a domain without a weight has weight 0; if no weight
-is left, all rates are 1. An empty table gives no row. Extra columns pass through ``mixed``.
+are left out and the rest scaled to sum 1; a domain without a weight is left out of the fit, so its
+documents' rates only change by their share of domains with one; if no weight is left, all rates are 1. An empty table gives no row. Extra columns pass through ``mixed``.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +37,10 @@ SLOTS = 1 << 12
 #: Labelled documents of each domain, and in all, that the classifier is fitted on, at most.
 SAMPLE_PER_DOMAIN = 500
 SAMPLE = 4000
+#: Steps at most; the fit ends before at a largest error of TOLERANCE times the target in all, or when
+#: a step lowers the squared error by no more than that share of it.
 STEPS = 25
+TOLERANCE = 1e-9
 
 
 @dataclass
@@ -127,35 +132,53 @@ def with_posteriors(documents: DataFrame, model: SoftDomains, columns: list[str]
 def fit_rates(table: DataFrame, model: SoftDomains, weights: dict[str, float], budget: float | None = None) -> tuple[Column, dict]:
     """(the rate as an expression of _p0, _p1, ..., a report of the fit).
 
-    table: _tokens and the posteriors of all documents. budget: tokens in all; without it, the
-    least at which no domain has to give up tokens.
+    table: _tokens and the posteriors of all documents. budget: tokens in all of the domains with
+    a weight; without it, the least at which no domain has to give up tokens. The report's
+    ``converged`` says whether the fit ended at TOLERANCE; if not, the rates are those of the
+    least error met, which is never above that of the first rates, and a warning is given.
     """
     k = len(model.domains)
     p = [F.col(f"_p{i}") for i in range(k)]
-    goal = np.array([max(0.0, weights.get(d, 0.0)) for d in model.domains])
+    own = np.array([i for i, d in enumerate(model.domains) if d in weights], dtype=int)
+    goal = np.array([max(0.0, weights[model.domains[i]]) for i in own])
     rate: Column = F.lit(1.0)
-    start = _sums(table, rate, p)[0]
+    total, spread = _sums(table, rate, p, 0.0)
+    start = total[own]
     if goal.sum() <= 0 or start.sum() <= 0:
-        return rate, {"domains": model.domains, "expected": start.tolist(), "target": start.tolist(), "steps": 0}
+        return rate, {"domains": model.domains, "expected": total.tolist(), "target": total.tolist(), "steps": 0, "converged": True}
     goal = goal / goal.sum()
     most = max((s / g for s, g in zip(start, goal) if g > 0), default=0.0)
     target = goal * (budget if budget is not None else max(most, start.sum()))
-    total, steps = start, 0
+    safe = np.linalg.pinv(spread[np.ix_(own, own)], rcond=1e-12)
+    size = lambda t: float((t[own] - target) @ safe @ (t[own] - target))
+    error, met, steps, done = size(total), False, 0, False
     for steps in range(1, STEPS + 1):
-        total, spread = _sums(table, rate, p)
-        if np.abs(total - target).max() <= 1e-9 * target.sum():
+        met = np.abs(total[own] - target).max() <= TOLERANCE * target.sum()
+        if met or done:
             break
-        slope = np.linalg.pinv(spread, rcond=1e-12) @ (total - target)
-        down = sum((p[i] * F.lit(float(slope[i])) for i in range(1, k)), p[0] * F.lit(float(slope[0])))
-        rate = F.greatest(F.lit(0.0), rate - down)
-    return rate, {"domains": model.domains, "expected": total.tolist(), "target": target.tolist(), "steps": steps}
-
-
-def _sums(table: DataFrame, rate: Column, p: list[Column]) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain, and the domains' covariance over rates above 0."""
+        for metric in (np.linalg.pinv(spread[np.ix_(own, own)], rcond=1e-12), safe):
+            slope = metric @ (total[own] - target)
+            down = sum((p[i] * F.lit(float(x)) for i, x in zip(own, slope)), F.lit(0.0))
+            tried = F.greatest(F.lit(0.0), rate - down)
+            found, live = _sums(table, tried, p, 0.0)
+            if size(found) < 0.9 * error:
+                break
+        done = size(found) >= (1 - TOLERANCE) * error  # the safe step, which always lowers an error that can be lowered
+        if size(found) < error:
+            rate, total, spread, error = tried, found, live, size(found)
+    met = np.abs(total[own] - target).max() <= TOLERANCE * target.sum()
+    aim = total.copy()
+    aim[own] = target
+    if not (met or done):
+        warnings.warn(f"the rates' fit did not converge in {STEPS} steps: expected {total.tolist()}, target {aim.tolist()}", stacklevel=2)
+    return rate, {"domains": model.domains, "expected": total.tolist(), "target": aim.tolist(), "steps": steps, "converged": bool(met or done)}
+
+
+def _sums(table: DataFrame, rate: Column, p: list[Column], floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain, and the domains' covariance over rates above ``floor``."""
     k = len(p)
     rows = table.withColumn("_r", rate)
-    live = F.when(F.col("_r") > 0, F.col("_tokens")).otherwise(F.lit(0))
+    live = F.when(F.col("_r") > floor, F.col("_tokens")).otherwise(F.lit(0))
     sums = [F.sum(F.col("_r") * F.col("_tokens") * p[i]) for i in range(k)]
     sums += [F.sum(live * p[i] * p[j]) for i in range(k) for j in range(i, k)]
     got = [float(x or 0.0) for x in rows.agg(*(s.alias(f"s{n}") for n, s in enumerate(sums))).first()]

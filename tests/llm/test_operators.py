@@ -433,6 +433,20 @@ def test_mixing_edges(spark):
     assert mixing.mixed(table.limit(0), none, {"en": 1.0}).count() == 0
 
 
+def test_mixing_leaves_domains_without_weight(spark, medium):
+    """A language that has no weight keeps its documents, and the others' targets are met."""
+    documents = spark.read.parquet(f"{medium}/documents.parquet")
+    shifted = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm")
+    fifth = F.col("doc_id") % 33 == 0
+    documents = documents.withColumn("text", F.when(fifth, shifted).otherwise(F.col("text"))).withColumn("lang", F.when(fifth, "xx").otherwise(F.col("lang")))
+    got, report = mixing.rates(documents, documents.select("doc_id", F.col("lang").alias("domain")), queries.LANGUAGE_WEIGHTS)
+    assert report["converged"] and report["domains"][-1] == "xx"
+    assert report["expected"][:4] == pytest.approx(report["target"][:4], rel=1e-6)
+    table = got.toPandas().set_index("doc_id")
+    assert (table["copies"] > 0).mean() > 0.99
+    assert table.loc[table["p_xx"] > 0.9, "rate"].between(0.8, 1.3).all()
+
+
 # --- SQL and pipeline -----------------------------------------------------------------------------
 
 
