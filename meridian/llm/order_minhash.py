@@ -5,10 +5,8 @@ one edit touches most word runs), numbered by occurrence: the second time a run
 as another k-mer. In each of ``ORDERS`` hash orders the ``PICKED`` least k-mers are selected,
 put back in their order in the text, and their tuple is hashed; the hashes are the signature.
 Equal places of two signatures tell how alike two texts are in content and in order, which
-follows edit distance. The orders are applied to the k-mers whose content hash is among the
-``DISTINCT`` least of the text, and to those that make up a good part of it, with all their
-occurrences: a consistent sample, so that the cost of an order doesn't grow with the number of
-different k-mers.
+follows edit distance. Each order is applied to all of a text's numbered k-mers, so its cost grows
+with the text.
 
 Defined results: a null text is the empty text, whose signature is all zeros, like that of any
 longer text without a word; a text shorter than a run has one k-mer; equal texts have equal
@@ -28,8 +26,9 @@ CHARS = 4
 SHORT = 200
 ORDERS = 32
 PICKED = 2
-DISTINCT = 64
-STEPS = 32
+#: Every k-mer takes part; these two say that no content is left out.
+DISTINCT = None
+STEPS = 1
 #: Documents that are put in order in one group, about.
 RUN = 400
 
@@ -56,60 +55,45 @@ def kmers(text: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= SHORT, short).otherwise(let(hashes, runs))
 
 
-def sampled(hashes: Column) -> Column:
-    """Occurrence-numbered k-mers of the sample: array of (key, pos), by content."""
+def numbered(hashes: Column) -> Column:
+    """All occurrence-numbered k-mers, as two arrays of the same order: key and pos."""
 
-    def heavy(h: Column) -> Column:
-        """Contents that fill a step of the sorted hashes: all that make up a 16th, none under a 32nd."""
-        step = F.greatest(F.lit(1), F.floor(F.size(h) / STEPS).cast("int"))
-        spots = F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda j: F.when(F.get(h, j * step) == F.get(h, (j + 1) * step), F.get(h, j * step)))
-        return F.array_distinct(F.filter(spots, lambda x: x.isNotNull()))
+    def starts(s: Column) -> Column:
+        """Where a content begins in the sorted k-mers."""
+        new = lambda x, i: (i == 0) | (F.get(s, i - 1)["h"] != x["h"])
+        return F.filter(F.transform(s, lambda x, i: F.when(new(x, i), i)), lambda i: i.isNotNull())
 
-    def kept(h: Column) -> Column:
-        at = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("pos")))
-        picked = let(F.sort_array(h), lambda o: F.struct(F.slice(F.array_distinct(o), 1, DISTINCT).alias("least"), heavy(o).alias("heavy")))
-        chosen = lambda p, x: (x["h"] <= F.element_at(p["least"], -1)) | F.array_contains(p["heavy"], x["h"])
-        return let(picked, lambda p: F.struct(F.array_union(p["least"], p["heavy"]).alias("d"), F.sort_array(F.filter(at, lambda x: chosen(p, x))).alias("s")))
+    def keys(s: Column) -> Column:
+        times = let(starts(s), lambda at: F.flatten(F.transform(at, lambda i, j: F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(s)) - i - 1))))
+        return F.struct(F.zip_with(s, times, lambda x, n: F.xxhash64(x["h"], n.cast("bigint"))).alias("key"), s["pos"].alias("pos"))
 
-    def numbered(x: Column) -> Column:
-        return let(
-            F.struct(x["d"].alias("d"), x["s"].alias("s"), let(x["s"]["h"], lambda all_h: F.transform(x["d"], lambda v: F.array_position(all_h, v))).alias("first")),
-            lambda y: F.transform(
-                y["s"],
-                lambda e, i: F.struct(F.xxhash64(e["h"], i + 1 - F.element_at(y["first"], F.array_position(y["d"], e["h"]).cast("int"))).alias("key"), e["pos"].alias("pos")),
-            ),
-        )
-
-    some = let(hashes, lambda h: F.when(F.size(h) > 0, let(kept(h), numbered)))
-    return F.coalesce(some, F.array().cast("array<struct<key:bigint,pos:int>>"))
+    return let(F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("pos")))), keys)
 
 
 def signature(text: Column) -> Column:
     """ORDERS hashes of a text, as an array of longs."""
 
-    def each(entries: Column) -> Column:
-        return F.array(*(_tuple(entries, t) for t in range(ORDERS)))
+    def each(e: Column) -> Column:
+        return F.array(*(_tuple(e["key"], e["pos"], t) for t in range(ORDERS)))
 
-    return let(sampled(kmers(text)), lambda e: F.when(F.size(e) > 0, each(e)).otherwise(F.array_repeat(F.lit(0).cast("long"), ORDERS)))
+    none = F.array_repeat(F.lit(0).cast("long"), ORDERS)
+    return let(kmers(text), lambda h: F.when(F.size(h) > 0, let(numbered(h), each)).otherwise(none))
 
 
-def _tuple(entries: Column, order: int) -> Column:
-    """The hash of one order's least entries, in text order."""
-    masked = F.transform(entries, lambda e: F.struct(F.xxhash64(e["key"], F.lit(order).cast("bigint")).alias("key"), e["pos"].alias("pos")))
+def _tuple(key: Column, pos: Column, order: int) -> Column:
+    """The hash of one order's least k-mers, in text order."""
+    at = lambda m, x: F.element_at(pos, F.array_position(m, x).cast("int"))
 
     def picked(m: Column) -> Column:
-        def with_next(first: Column) -> Column:
-            second = F.array_min(F.filter(m, lambda e: e["key"] > first["key"]))
-            return let(
-                second,
-                lambda s: F.when(s.isNull(), F.xxhash64(first["key"]))
-                .when(first["pos"] <= s["pos"], F.xxhash64(first["key"], s["key"]))
-                .otherwise(F.xxhash64(s["key"], first["key"])),
-            )
-
-        return let(F.array_min(m), with_next)
-
-    return let(masked, picked)
+        two = let(F.array_min(m), lambda a: F.struct(a.alias("a"), F.array_min(F.array_remove(m, a)).alias("b")))
+        return let(
+            two,
+            lambda s: F.when(s["b"].isNull(), F.xxhash64(s["a"]))
+            .when(at(m, s["a"]) <= at(m, s["b"]), F.xxhash64(s["a"], s["b"]))
+            .otherwise(F.xxhash64(s["b"], s["a"])),
+        )
+
+    return let(F.transform(key, lambda k: F.xxhash64(k, F.lit(order).cast("bigint"))), picked)
 
 
 def likeness(a: Column, b: Column) -> Column:

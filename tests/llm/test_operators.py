@@ -385,6 +385,14 @@ def test_order_minhash_tells_edits(spark, medium):
     assert (got["near_edited"] > got["near_next"]).mean() > 0.98
 
 
+def test_order_minhash_sees_all_kmers(spark):
+    """A run that makes up much of the other third doesn't hide the two thirds that were kept."""
+    words = [f"w{i}" for i in range(3000)]
+    table = docs(spark, ["same same " * 700, " ".join(words)])
+    got = {r["doc_id"]: r["near_edited"] for r in rows(order_minhash.compare(table))}
+    assert got[1] >= 0.15
+
+
 @pytest.mark.parametrize("run", [400, 1, 2])
 def test_next_document(spark, monkeypatch, run):
     monkeypatch.setattr(order_minhash, "RUN", run)
