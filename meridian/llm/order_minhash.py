@@ -1,15 +1,14 @@
 """Document fingerprints by order MinHash, with DataFrame functions only.
 
-K-mers are runs of ``K`` words (of ``CHARS`` code points in texts of up to ``SHORT`` of them, where
-one edit touches most word runs), numbered by occurrence: the second time a run occurs it counts
-as another k-mer. In each of ``ORDERS`` hash orders the ``PICKED`` least k-mers are selected,
+K-mers are runs of ``CHARS`` code points, whatever a text's length, numbered by occurrence: the
+second time a run occurs it counts as another k-mer. In each of ``ORDERS`` hash orders the ``PICKED`` least k-mers are selected,
 put back in their order in the text, and their tuple is hashed; the hashes are the signature.
 Equal places of two signatures tell how alike two texts are in content and in order, which
 follows edit distance. Each order is applied to all of a text's numbered k-mers, so its cost grows
 with the text.
 
-Defined results: a null text is the empty text, whose signature is all zeros, like that of any
-longer text without a word; a text shorter than a run has one k-mer; equal texts have equal
+Defined results: a null text is the empty text, whose signature is all zeros;
+a text shorter than a run has one k-mer; equal texts have equal
 signatures. Documents follow one another by descending doc_id (nulls last), rows of one id by
 text; the last is followed by the first, a single document by itself.
 """
@@ -21,12 +20,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 2
 CHARS = 4
-SHORT = 200
 ORDERS = 32
 PICKED = 2
-#: Every k-mer takes part; these two say that no content is left out.
+#: Every text has runs of code points, and every k-mer takes part: no length or number of contents is set apart.
+SHORT = 1 << 31
 DISTINCT = None
 STEPS = 1
 #: Documents that are put in order in one group, about.
@@ -40,19 +38,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def kmers(text: Column) -> Column:
     """Content hashes of a text's runs, in order."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
 
-    def runs(h: Column) -> Column:
-        n = F.greatest(F.size(h) - (K - 1), F.least(F.size(h), F.lit(1)))
-        later = F.slice(h, K, F.greatest(F.size(h), F.lit(1)))
-        pairs = F.zip_with(F.slice(h, 1, F.greatest(n, F.lit(1))), later, lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(0))))
-        return F.when(n > 0, pairs).otherwise(F.array().cast("array<bigint>"))
+    def joined(x: Column, apart: int, body: Callable[[Column, Column], Column]) -> Column:
+        """``body`` of each element and the one ``apart`` places behind it."""
+        n = F.greatest(F.size(x) - apart, F.lit(0))
+        return F.zip_with(F.slice(x, 1, n), F.slice(x, apart + 1, n), body)
 
+    runs = let(F.split(text, ""), lambda c: let(joined(c, 1, lambda a, b: F.concat(a, b)), lambda two: joined(two, CHARS // 2, lambda a, b: F.xxhash64(F.concat(a, b)))))
     n = F.length(text)
-    spots = F.sequence(F.lit(1), F.greatest(F.lit(1), n - (CHARS - 1)))
-    short = F.transform(spots, lambda i: F.xxhash64(F.substring(text, i, F.lit(CHARS))))
-    return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= SHORT, short).otherwise(let(hashes, runs))
+    return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= CHARS, F.array(F.xxhash64(text))).otherwise(runs)
 
 
 def numbered(hashes: Column) -> Column:

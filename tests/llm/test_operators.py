@@ -393,6 +393,15 @@ def test_order_minhash_sees_all_kmers(spark):
     assert got[1] >= 0.15
 
 
+def test_order_minhash_has_one_kind_of_kmer(spark):
+    """Texts on both sides of any length, and long ones without white space, share their k-mers."""
+    text = " ".join(f"w{i * i}" for i in range(60))
+    glued = "".join(f"w{i * i}" for i in range(400))
+    got = {r["doc_id"]: r for r in rows(order_minhash.compare(docs(spark, ["z", glued, text[:199], text[:201], text[:240]])))}
+    assert got[3]["near_next"] > 0.5 and got[1]["near_edited"] > 0.1
+    assert order_minhash.compare(docs(spark, ["z", text[:250]])).where("doc_id = 1 and near_edited > 0.1").count() == 1
+
+
 @pytest.mark.parametrize("run", [400, 1, 2])
 def test_next_document(spark, monkeypatch, run):
     monkeypatch.setattr(order_minhash, "RUN", run)
