@@ -168,13 +168,14 @@ def collected_terms(rows: DataFrame, label: str) -> tuple[list[np.ndarray], np.n
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, held_out: tuple[int, int] | None = (5, 0)) -> FactorizationMachine:
-    """Fits on at most ``per_class`` labelled rows of each class, chosen by id hash.
+    """Fits on at most ``per_class`` labelled rows of each class, chosen by id hash among those of the documents.
 
     held_out: (folds, fold) whose documents' labels are never learned from.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
     if held_out:
         known = known.where(fold_of(F.col("doc_id"), held_out[0]) != held_out[1])
+    known = known.join(documents.select("doc_id"), "doc_id", "left_semi")
     picked = bounded_sample(known, F.col("toxic"), per_class, [0, 1])
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_class rows
     return fit(*collected_terms(rows, "toxic"))
@@ -206,6 +207,11 @@ def classify(documents: DataFrame, model: FactorizationMachine, folds: tuple[int
 
 
 def accepted(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """The documents that the model doesn't reject, with their own columns."""
+    """The documents that the model doesn't reject, with their own columns.
+
+    A model that has learned no term, as without labelled rows of both classes, rejects none.
+    """
+    if not len(model.kept):
+        return documents
     column = spare(documents.columns, "score")
     return with_scores(documents, model, column).where(F.col(column) < 0.5).drop(column)

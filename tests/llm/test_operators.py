@@ -134,6 +134,18 @@ def test_classifier_edges(spark, module):
     assert module.classify(table.limit(0), module.train(table.limit(0), both)).count() == 0
 
 
+def test_toxicity_rejects_on_evidence_only(spark):
+    table = docs(spark, ["fine words here", "slur here", "other words"] * 4)
+    schema = "doc_id long, toxic int"
+    for labels in ([], [(1, 1)], [(99, 1), (98, 0)]):
+        model = toxicity.train(table, spark.createDataFrame(labels, schema), held_out=None)
+        assert toxicity.accepted(table, model).count() == 12
+    far = [(1000 + i, i % 2) for i in range(500)]  # labels of other documents don't fill the sample
+    near = [(i, int(i % 3 == 1)) for i in range(12)]
+    model = toxicity.train(table, spark.createDataFrame(far + near, schema), per_class=8, held_out=None)
+    assert len(model.kept)
+
+
 # --- 5: SimHash -----------------------------------------------------------------------------------
 
 
