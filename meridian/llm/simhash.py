@@ -160,18 +160,24 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def representatives(documents: DataFrame, width: int = 3) -> DataFrame:
-    """One document of each group: the one of smallest id; of rows with that id, the least text.
+    """One document of each group: the one of smallest id; of the group's rows with that id, the least text.
 
     Of a group without any id, the least text. Texts are shuffled once, by doc_id.
     """
     columns = documents.columns
-    mine, place, fp, root = (spare(columns, c) for c in ("kept_id", "place", "fp", "root"))
+    mine, place, fp, root, several, roots = (spare(columns, c) for c in ("kept_id", "place", "fp", "root", "several", "roots"))
     prints = cut(fingerprints(documents, width))
     named = cut(_named(prints))
-    kept = prints.join(named, "fp").where("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
+    rooted = prints.where("doc_id is not null").join(named, "fp")
+    mark = F.when(F.col("doc_id") == F.col("component_id"), F.struct("fp", "root"))
+    kept = rooted.groupBy(F.col("doc_id").alias(mine)).agg((F.min("fp") < F.max("fp")).alias(several), F.collect_set(mark).alias(roots))
     rest = [F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")]
-    chosen = documents.join(kept, F.col("doc_id") == F.col(mine), "left_semi")
-    chosen = chosen.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *rest)))
+    chosen = documents.join(kept.where(F.size(roots) > 0), F.col("doc_id") == F.col(mine))
+    own = _fingerprint_of(width)(F.when(F.col(several), F.col("text").cast("binary")))  # only where an id has texts of several fingerprints
+    chosen = chosen.withColumn(fp, F.when(F.col(several), own).otherwise(F.col(roots)[0]["fp"]))
+    chosen = chosen.withColumn(root, F.get(F.filter(roots, lambda r: r["fp"] == F.col(fp)), F.lit(0))["root"]).where(F.col(root).isNotNull())
+    chosen = chosen.drop(mine, several, roots)
+    chosen = chosen.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", root).orderBy("text", *rest))).drop(fp, root)
     without = documents.where("doc_id is null").withColumn(fp, _fingerprint_of(width)(F.col("text").cast("binary")))
     nameless = named.where("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root))
     nameless = without.join(nameless, fp).withColumn(place, F.row_number().over(Window.partitionBy(root).orderBy("text", *rest)))

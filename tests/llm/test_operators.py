@@ -219,6 +219,18 @@ def test_simhash_edges(spark):
     assert simhash.fingerprint(long.encode(), block=1000) == simhash.fingerprint(long.encode())
 
 
+def test_representatives_of_repeated_ids(spark):
+    """Rows of one id with different texts stand for their own groups."""
+    a, b, c = "a b c d", "q r s t u", "one two three four five"
+    schema = "doc_id long, text string"
+    for given, kept in (
+        ([(1, a), (1, b), (2, a), (2, b)], [(1, a), (1, b)]),
+        ([(0, a), (1, a), (1, b), (2, b)], [(0, a), (1, b)]),
+        ([(0, b), (1, b), (1, b), (1, a), (1, a), (3, c)], [(0, b), (1, a), (3, c)]),
+    ):
+        assert sorted(map(tuple, simhash.representatives(spark.createDataFrame(given, schema)).collect())) == sorted(kept)
+
+
 # --- 6: language identification -------------------------------------------------------------------
 
 
