@@ -133,7 +133,8 @@ def fit_rates(table: DataFrame, model: SoftDomains, weights: dict[str, float], b
     """(the rate as an expression of _p0, _p1, ..., a report of the fit).
 
     table: _tokens and the posteriors of all documents. budget: tokens in all of the domains with
-    a weight; without it, the least at which no domain has to give up tokens. The report's
+    a weight; without it, the least at which no domain has to give up tokens and
+    rates of all domains' documents are 1 or more (and no rate is under 1, if all weights are positive). The report's
     ``converged`` says whether the fit ended at TOLERANCE; if not, the rates are those of the
     least error met, which is never above that of the first rates, and a warning is given.
     """
@@ -148,8 +149,12 @@ def fit_rates(table: DataFrame, model: SoftDomains, weights: dict[str, float], b
         return rate, {"domains": model.domains, "expected": total.tolist(), "target": total.tolist(), "steps": 0, "converged": True}
     goal = goal / goal.sum()
     most = max((s / g for s, g in zip(start, goal) if g > 0), default=0.0)
-    target = goal * (budget if budget is not None else max(most, start.sum()))
     safe = np.linalg.pinv(spread[np.ix_(own, own)], rcond=1e-12)
+    floor = 1.0 if budget is None and (goal > 0).all() else 0.0
+    per, least = safe @ goal, safe @ start  # a first step to targets of T in all adds T * per - least to rates, by domain
+    if floor and (per > 0).all():
+        most = max(most, (least / per).max())
+    target = goal * (budget if budget is not None else max(most, start.sum()))
     size = lambda t: float((t[own] - target) @ safe @ (t[own] - target))
     error, met, steps, done = size(total), False, 0, False
     for steps in range(1, STEPS + 1):
@@ -159,8 +164,8 @@ def fit_rates(table: DataFrame, model: SoftDomains, weights: dict[str, float], b
         for metric in (np.linalg.pinv(spread[np.ix_(own, own)], rcond=1e-12), safe):
             slope = metric @ (total[own] - target)
             down = sum((p[i] * F.lit(float(x)) for i, x in zip(own, slope)), F.lit(0.0))
-            tried = F.greatest(F.lit(0.0), rate - down)
-            found, live = _sums(table, tried, p, 0.0)
+            tried = F.greatest(F.lit(floor), rate - down)
+            found, live = _sums(table, tried, p, floor)
             if size(found) < 0.9 * error:
                 break
         done = size(found) >= (1 - TOLERANCE) * error  # the safe step, which always lowers an error that can be lowered

@@ -488,6 +488,13 @@ def test_mixing_leaves_domains_without_weight(spark, medium):
     assert table.loc[table["p_xx"] > 0.9, "rate"].between(0.8, 1.3).all()
 
 
+def test_mixing_without_budget_drops_none(spark, medium):
+    documents = spark.read.parquet(f"{medium}/documents.parquet")
+    got, report = mixing.rates(documents, documents.select("doc_id", F.col("lang").alias("domain")), queries.LANGUAGE_WEIGHTS)
+    table = got.toPandas()
+    assert report["converged"] and (table["rate"] >= 1).all() and (table["copies"] >= 1).all()
+
+
 # --- SQL and pipeline -----------------------------------------------------------------------------
 
 
