@@ -27,8 +27,11 @@ SLOTS = 1 << 22
 FACTORS = 4
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 2500
-#: A slot takes part if its log-odds between the classes is so many standard errors from zero.
+#: A slot's value is 1 if its likelihood ratio is so many standard errors from zero, less with less evidence,
+#: at least LEAST alone and LEAST_PAIRED in pairs. No slot is left out for it.
 STANDARD_ERRORS = 3.0
+LEAST = 0.01
+LEAST_PAIRED = 0.2
 #: How much more a clean text called toxic counts than a toxic one missed.
 CLEAN = 3.0
 #: Linear weights begin at this share of the log-odds.
@@ -73,7 +76,7 @@ class Terms(dict):
 
 @dataclass
 class FactorizationMachine:
-    """x_i of a present term is its kept log-odds' size, learned with the rest."""
+    """x_i of a present term grows with its evidence; in pairs it is LEAST_PAIRED at least."""
 
     kept: np.ndarray  # slots that take part, ascending
     x: np.ndarray  # by place in kept
@@ -84,7 +87,7 @@ class FactorizationMachine:
     def margin(self, places: np.ndarray) -> float:
         if not len(places):
             return self.w0
-        vx = self.v[places] * self.x[places, None]
+        vx = self.v[places] * np.maximum(self.x[places, None], LEAST_PAIRED)
         total = vx.sum(axis=0)
         return self.w0 + float(self.w[places] @ self.x[places]) + 0.5 * float(total @ total - (vx * vx).sum())
 
@@ -93,7 +96,7 @@ class FactorizationMachine:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: float = 0.1, decay: float = 1e-4) -> FactorizationMachine:
-    """Keeps the slots that tell the classes apart, then AdaGrad on the logistic loss.
+    """AdaGrad on the logistic loss; linear weights begin at a share of the log-odds.
 
     Classes weigh the same in all. A term met in one row only never takes part.
     """
@@ -106,11 +109,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: floa
     of = np.repeat(y, [len(r) for r in rows])
     counts = {s: np.bincount(at[of == s], minlength=len(met)) for s in n}
     odds = np.log((counts[1.0] + 0.5) / (n[1.0] - counts[1.0] + 0.5)) - np.log((counts[-1.0] + 0.5) / (n[-1.0] - counts[-1.0] + 0.5))
-    error = np.sqrt(1 / (counts[1.0] + 0.5) + 1 / (counts[-1.0] + 0.5))
-    tells = (np.abs(odds) >= STANDARD_ERRORS * error) & (counts[1.0] + counts[-1.0] > 1)
+    tells = counts[1.0] + counts[-1.0] > 1
     kept, odds = met[tells].astype(np.int32), odds[tells]
+    x = np.clip(_evidence(counts[1.0][tells], counts[-1.0][tells], n) / STANDARD_ERRORS, np.sqrt(LEAST), 1.0) ** 2
     order = np.random.default_rng(11)
-    m = FactorizationMachine(kept, np.minimum(np.abs(odds), 4.0) / 4.0, -1.0, START * np.clip(odds, -4.0, 4.0), order.normal(0, 0.05, (len(kept), FACTORS)))
+    m = FactorizationMachine(kept, x, -1.0, START * np.clip(odds, -4.0, 4.0) * x, order.normal(0, 0.03, (len(kept), FACTORS)))
     places = []
     for r in rows:
         at = np.searchsorted(kept, r)
@@ -122,7 +125,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: floa
         for i in order.permutation(len(rows)):
             r = places[i]
             x, v = m.x[r], m.v[r]
-            vx = v * x[:, None]
+            paired = np.maximum(x, LEAST_PAIRED)[:, None]
+            vx = v * paired
             total = vx.sum(axis=0)
             margin = m.w0 + float(m.w[r] @ x) + 0.5 * float(total @ total - (vx * vx).sum())
             pull = -y[i] * weight[y[i]] / (1.0 + np.exp(np.clip(y[i] * margin, -30, 30)))
@@ -131,13 +135,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: floa
             dw = pull * x + decay * m.w[r]
             gw[r] += dw * dw
             m.w[r] -= rate * dw / np.sqrt(gw[r])
-            dv = pull * x[:, None] * (total - vx) + decay * v
+            dv = pull * paired * (total - vx) + decay * v
             gv[r] += dv * dv
             m.v[r] = v - 0.5 * rate * dv / np.sqrt(gv[r])
     m.w0 -= min(0.0, _threshold(np.array([m.margin(r) for r in places]), y, n))
     return m
 
 
+def _evidence(toxic: np.ndarray, clean: np.ndarray, n: dict) -> np.ndarray:
+    """Roots of the likelihood ratios of the terms' counts in the classes, which hold for rare terms too."""
+    share = (toxic + clean) / (n[1.0] + n[-1.0])
+    parts = ((toxic, share * n[1.0]), (clean, share * n[-1.0]), (n[1.0] - toxic, (1 - share) * n[1.0]), (n[-1.0] - clean, (1 - share) * n[-1.0]))
+    ratio = sum(np.where(k > 0, k * np.log(np.maximum(k, 0.5) / np.maximum(e, 1e-9)), 0.0) for k, e in parts)
+    return np.sqrt(np.maximum(2.0 * ratio, 0.0))
+
+
 def _threshold(margins: np.ndarray, y: np.ndarray, n: dict) -> float:
     """The margin that best parts the classes, in the middle of the gap that it lies in.
 

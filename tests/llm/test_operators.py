@@ -118,6 +118,23 @@ def test_held_out_accuracy(spark, medium, op, label, folds, fold, least):
     assert (held["predicted"] == held[label]).mean() >= least
 
 
+def test_toxicity_of_a_pair_and_of_rare_terms():
+    """Terms that say little alone take part: a pair decides, and no rare term is left out."""
+    order = np.random.default_rng(3)
+    a, b, rare = 1, 2, 3
+
+    def row(*signs):
+        return np.sort(np.array([*signs, *(10 + order.choice(400, 12, replace=False))], np.int32))
+
+    toxic = [row(a, b) for _ in range(290)] + [row(rare) for _ in range(8)] + [row(4) for _ in range(702)]
+    clean = [row(a) for _ in range(250)] + [row(b) for _ in range(250)] + [row() for _ in range(500)]
+    model = toxicity.fit(toxic + clean, np.array([1] * 1000 + [0] * 1000))
+    assert {a, b, rare} <= set(model.kept.tolist())
+    score = lambda *signs: np.array([model.score(np.searchsorted(model.kept, row(*signs))) for _ in range(100)])
+    assert (score(a, b) >= 0.5).mean() > 0.9 and (score(a) < 0.5).mean() > 0.9 and (score(b) < 0.5).mean() > 0.9
+    assert score(rare).mean() > score().mean()
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifier_edges(spark, module):
     label = "quality" if module is quality else "toxic"
