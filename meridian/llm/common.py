@@ -39,7 +39,7 @@ class WordCodes(dict):
         if len(self) >= self.LIMIT:
             self.clear()
         shape, last = [], ""
-        for ch in word[:64]:
+        for ch in word:
             kind = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
             if kind != last:
                 shape.append(kind)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meridian.llm import bpe, chat_format, langid, mixing, order_minhash, quality, queries, simhash, topk, toxicity, url_filter
+from meridian.llm import bpe, chat_format, common, langid, mixing, order_minhash, quality, queries, simhash, topk, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -118,6 +118,13 @@ def test_held_out_accuracy(spark, medium, op, label, folds, fold, least):
     assert (held["predicted"] == held[label]).mean() >= least
 
 
+def test_shape_of_whole_word():
+    codes = common.WordCodes()
+    head = "aB" * 32
+    assert len({codes[head + tail] >> 32 for tail in ("", "9", "9-9", "====")}) == 4
+    assert codes["a" * 64 + "a"] >> 32 == codes["a"] >> 32
+
+
 def test_toxicity_of_a_pair_and_of_rare_terms():
     """Terms that say little alone take part: a pair decides, and no rare term is left out."""
     order = np.random.default_rng(3)
