@@ -380,37 +380,33 @@ def spark_hash(*longs):
     return h - (1 << 64) if h >> 63 else h
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
 def plain_signature(text):
-    import re
-
-    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
-    if not (words if len(text) > order_minhash.SHORT else text):
-        return [0] * order_minhash.ORDERS
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words]
-    grams = [spark_hash(a, b) for a, b in zip(h, h[1:])] or [spark_hash(x, 0) for x in h]
-    if len(text) <= order_minhash.SHORT:
-        size = order_minhash.CHARS
-        grams = [signed(xxhash.xxh64_intdigest(text[i : i + size].encode(), 42)) for i in range(max(1, len(text) - size + 1))]
-    ordered, step = sorted(grams), max(1, len(grams) // order_minhash.STEPS)
-    keep = set(sorted(set(grams))[: order_minhash.DISTINCT])
-    keep |= {ordered[j * step] for j in range(order_minhash.STEPS) if (j + 1) * step < len(grams) and ordered[j * step] == ordered[(j + 1) * step]}
+    """Every order over every numbered k-mer, by the definition."""
+    low, size = (1 << order_minhash.POSITION_BITS) - 1, order_minhash.CHARS
+    if not text:
+        return [0] * order_minhash.PLACES
     seen, entries = {}, []
-    for pos, g in enumerate(grams):
-        if g in keep:
-            entries.append((spark_hash(g, seen.get(g, 0)), pos))
-            seen[g] = seen.get(g, 0) + 1
+    for pos in range(max(1, len(text) - size + 1)):
+        gram = signed(xxhash.xxh64_intdigest(text[pos : pos + size].encode(), 42)) >> order_minhash.POSITION_BITS
+        k = xxhash.xxh64_intdigest(seen.get(gram, 0).to_bytes(4, "little"), spark_hash(gram) % (1 << 64))  # a long, then an int
+        entries.append((signed(k), pos))
+        seen[gram] = seen.get(gram, 0) + 1
     out = []
-    for t in range(order_minhash.ORDERS):
-        least = sorted((spark_hash(k, t), pos) for k, pos in entries)[: order_minhash.PICKED]
-        out.append(spark_hash(*(k for k, _ in sorted(least, key=lambda e: e[1]))))
+    for t in range(order_minhash.PLACES):
+        salts = order_minhash.SALTS[t * order_minhash.PICKED : (t + 1) * order_minhash.PICKED]
+        picked = [min((spark_hash(k ^ c) & ~low) | pos for k, pos in entries) for c in salts]
+        out.append(spark_hash(*(x >> order_minhash.POSITION_BITS for x in sorted(picked, key=lambda x: x & low))))
     return out
 
 
 def test_order_minhash_against_plain_python(spark, small):
     found = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
     texts = [r["text"] for r in found][:60] + [None, "", "one", "a a a a b b a a", "x y", "x y", "word " * 3000, "  ", " " * 300, "é😀" * 90, "w" * 500, " ".join(f"w{i % 7 * i}" for i in range(900))]
-    table = docs(spark, texts, first=-3).withColumn("_run", F.lit(5))
+    table = docs(spark, texts, first=-3).withColumn("run", F.lit(5)).withColumn("h", F.lit("x"))
     got = {r["doc_id"]: r for r in rows(order_minhash.compare(table))}
     texts = [t or "" for t in texts]
     for i, t in enumerate(texts):
@@ -419,7 +415,7 @@ def test_order_minhash_against_plain_python(spark, small):
         edited = t[: len(t) - third] + following[:third]
         row = got[i - 3]
         sig, edited_sig, next_sig = map(plain_signature, (t, edited, following))
-        share = lambda a, b: sum(x == y for x, y in zip(a, b)) / order_minhash.ORDERS
+        share = lambda a, b: sum(x == y for x, y in zip(a, b)) / order_minhash.PLACES
         assert row["n_chars"] == len(t)
         assert row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert row["fingerprint"] == "".join(f"{x % (1 << 64) >> 32:08x}" for x in sig)
@@ -450,17 +446,46 @@ def test_order_minhash_has_one_kind_of_kmer(spark):
     assert order_minhash.compare(docs(spark, ["z", text[:250]])).where("doc_id = 1 and near_edited > 0.1").count() == 1
 
 
-@pytest.mark.parametrize("run", [400, 1, 2])
-def test_next_document(spark, monkeypatch, run):
+def test_order_minhash_of_small_edits(spark):
+    """A text against itself less its last character, on both sides of any length."""
+    r = random.Random(2)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(1200))
+    table = docs(spark, [x for n in (201, 5000) for x in (text[: n - 1], text[:n])])
+    got = {r["doc_id"]: r for r in rows(order_minhash.compare(table))}
+    assert got[1]["near_next"] >= 0.8 and got[3]["near_next"] >= 0.8
+
+
+@pytest.mark.parametrize(("run", "runs"), [(400, 1 << 20), (1, 1 << 20), (2, 1 << 20), (1, 4)])
+def test_next_document(spark, monkeypatch, run, runs):
     monkeypatch.setattr(order_minhash, "RUN", run)
-    table = spark.createDataFrame([(5, "e"), (1, "a"), (1, "b"), (None, "n"), (1000, "z"), (7, None)], "doc_id long, text string")
-    got = [(r["doc_id"], r["text"], r["_next_text"]) for r in order_minhash.with_next(table).where("not _ghost").collect()]
-    order = [(1000, "z"), (7, ""), (5, "e"), (1, "a"), (1, "b"), (None, "n")]
-    assert sorted(got, key=repr) == sorted([(*x, order[(i + 1) % 6][1]) for i, x in enumerate(order)], key=repr)
+    monkeypatch.setattr(order_minhash, "RUNS", runs)
+    far = 1 << 62
+    given = [(5, "e"), (1, "a"), (1, "b"), (None, "n"), (None, "m"), (1000, "z"), (7, None), (far, "f"), (-far, "g"), ((1 << 63) - 1, "h"), (-(1 << 63), "i")]
+    given += [(1, f"c{i}") for i in range(30)] + [(None, f"d{i}") for i in range(30)]
+    table = spark.createDataFrame(given, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"], r["next_text"]) for r in order_minhash.with_next(table).where("not ghost").collect()]
+    h = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(((i, t or "") for i, t in given), key=lambda x: (x[0] is None, -(x[0] or 0), h(x[1])))
+    assert sorted(got, key=repr) == sorted([(*x, order[(i + 1) % len(order)][1]) for i, x in enumerate(order)], key=repr)
     assert order_minhash.compare(table.limit(0)).count() == 0
     assert [r["near_next"] for r in order_minhash.compare(table.limit(1)).collect()] == [1.0]
 
 
+def test_order_minhash_of_repeated_rows(spark, monkeypatch):
+    """Rows repeated more often than a run is long give the same as one by one."""
+    given = [(3, "some text to compare")] * 9 + [(2, "another text, edited")] * 2 + [(1, "the last of the texts")] + [(None, None)] * 7
+    table = spark.createDataFrame(given, "doc_id long, text string")
+    found = []
+    for run in (400, 5):
+        monkeypatch.setattr(order_minhash, "RUN", run)
+        found.append(sorted(map(repr, order_minhash.compare(table).collect())))
+    assert found[0] == found[1] and len(found[0]) == 19
+    got = [r for r in order_minhash.compare(table).collect() if r["doc_id"] == 3]
+    assert sorted(r["near_next"] == 1.0 for r in got) == [False] + [True] * 8
+    one = order_minhash.signatures(table.where("doc_id = 1")).first()["signature"]
+    assert list(one) == plain_signature("the last of the texts")
+
+
 # --- 10: mixing -----------------------------------------------------------------------------------
 
 
