@@ -223,6 +223,6 @@ def compare(documents: DataFrame) -> DataFrame:
     def out(kind: int, near_next: Column) -> Column:
         return F.struct(F.col(f"h{kind}").alias("edited_sha256"), F.col("f0").alias("fingerprint"), F.col(f"f{kind}").alias("edited_fingerprint"), F.col(f"near_s{kind}").alias("near_edited"), near_next.alias("near_next"))
 
-    last = both.select("doc_id", "n_chars", out(1, F.col("near_next")).alias("r"))
-    again = both.where("times > 1").select("doc_id", "n_chars", out(2, F.lit(1.0)).alias("r"), F.explode(F.sequence(F.lit(2).cast("long"), F.col("times")))).drop("col")
-    return last.unionByName(again).select("doc_id", "n_chars", "r.*")
+    given = F.sequence(F.lit(1).cast("long"), F.col("times"))  # the last of equal rows is followed by another text
+    each = both.select("*", F.explode(given).alias("nth"))
+    return each.select("doc_id", "n_chars", F.when(F.col("nth") == 1, out(1, F.col("near_next"))).otherwise(out(2, F.lit(1.0))).alias("r")).select("doc_id", "n_chars", "r.*")
