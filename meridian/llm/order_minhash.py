@@ -1,9 +1,10 @@
 """Document fingerprints by order MinHash, with DataFrame functions only.
 
 K-mers are runs of ``CHARS`` code points, whatever a text's length, numbered by occurrence: the
-second time a run occurs it counts as another k-mer. The signature has ``PLACES`` places of
-``PICKED`` hash orders each. In every order the least of all of a text's k-mers is selected; the
-k-mers selected for a place are put back in their order in the text, and their tuple is hashed.
+second time a run occurs it counts as another k-mer. In each of ``PLACES`` hash orders the least
+of all of a text's k-mers is selected. A place of the signature takes the k-mers selected in its
+own order and the next (``PICKED`` in all, the last ones go on with the first), puts them back in
+their order in the text, and hashes their tuple.
 Equal places of two signatures tell how alike two texts are in content and in order, which
 follows edit distance. Every order is applied to every numbered k-mer: k-mers become rows, and
 the least ones are plain aggregates of generated code.
@@ -24,6 +25,7 @@ eight bytes for each in the memory of one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -43,8 +45,12 @@ QUANTILES = 256
 
 _LOW = (1 << POSITION_BITS) - 1
 #: What a k-mer is combined with before it is hashed for an order.
-SALTS = [int(x) for x in np.random.default_rng(20).integers(1 << 62, size=PLACES * PICKED)]
-_GRAM = rf"(?s)(?=(.{{{CHARS}}}))."
+SALTS = [int(x) for x in np.random.default_rng(20).integers(1 << 62, size=PLACES)]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _packed(hashed: Column, pos: Column) -> Column:
@@ -53,9 +59,11 @@ def _packed(hashed: Column, pos: Column) -> Column:
 
 def kmers(text: Column, first: Column, alone: Column) -> Column:
     """A text's runs in order, as numbers; positions begin at ``first``. alone: whether a text shorter than a run is one."""
-    grams = F.transform(F.regexp_extract_all(text, F.lit(_GRAM), 1), lambda g, i: _packed(F.xxhash64(g), first + i))
+    points = F.encode(text, "UTF-32")  # four bytes for each code point, so any run is found at once
+    places = F.sequence(F.lit(0), F.length(text) - CHARS)
+    grams = let(points, lambda b: F.transform(places, lambda i: _packed(F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHARS))), first + i)))
     none = F.array().cast("array<bigint>")
-    return F.when(F.length(text) >= CHARS, grams).when(alone & (F.length(text) > 0), F.array(_packed(F.xxhash64(text), F.lit(0)))).otherwise(none)
+    return F.when(F.length(text) >= CHARS, grams).when(alone & (F.length(text) > 0), F.array(_packed(F.xxhash64(points), F.lit(0)))).otherwise(none)
 
 
 def least(texts: DataFrame, key: list[str], column: str = "kmers", share: str = "shared", skip: str = "skipped") -> DataFrame:
@@ -84,7 +92,7 @@ def signature(mins: Column) -> Column:
     """PLACES hashes from the least k-mers in each order: the tuples of those of a place, in text order."""
 
     def place(t: int) -> Column:
-        a, b = (F.get(mins, F.lit(PICKED * t + i)) for i in range(PICKED))
+        a, b = (F.get(mins, F.lit((t + i) % PLACES)) for i in range(PICKED))
         x, y = F.shiftright(a, POSITION_BITS), F.shiftright(b, POSITION_BITS)
         first = a.bitwiseAND(F.lit(_LOW)) <= b.bitwiseAND(F.lit(_LOW))
         return F.when(a.isNull(), F.lit(0).cast("bigint")).when(first, F.xxhash64(x, y)).otherwise(F.xxhash64(y, x))

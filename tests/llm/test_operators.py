@@ -391,16 +391,13 @@ def plain_signature(text):
         return [0] * order_minhash.PLACES
     seen, entries = {}, []
     for pos in range(max(1, len(text) - size + 1)):
-        gram = signed(xxhash.xxh64_intdigest(text[pos : pos + size].encode(), 42)) >> order_minhash.POSITION_BITS
+        gram = signed(xxhash.xxh64_intdigest(text[pos : pos + size].encode("utf-32-be"), 42)) >> order_minhash.POSITION_BITS
         k = xxhash.xxh64_intdigest(seen.get(gram, 0).to_bytes(4, "little"), spark_hash(gram) % (1 << 64))  # a long, then an int
         entries.append((signed(k), pos))
         seen[gram] = seen.get(gram, 0) + 1
-    out = []
-    for t in range(order_minhash.PLACES):
-        salts = order_minhash.SALTS[t * order_minhash.PICKED : (t + 1) * order_minhash.PICKED]
-        picked = [min((spark_hash(k ^ c) & ~low) | pos for k, pos in entries) for c in salts]
-        out.append(spark_hash(*(x >> order_minhash.POSITION_BITS for x in sorted(picked, key=lambda x: x & low))))
-    return out
+    picked = [min((spark_hash(k ^ c) & ~low) | pos for k, pos in entries) for c in order_minhash.SALTS]
+    pairs = zip(picked, picked[1:] + picked[:1])
+    return [spark_hash(*(x >> order_minhash.POSITION_BITS for x in sorted(pair, key=lambda x: x & low))) for pair in pairs]
 
 
 def test_order_minhash_against_plain_python(spark, small):
