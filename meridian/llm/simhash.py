@@ -7,11 +7,13 @@ many matches, and each is then verified bit by bit.
 A posting list for one byte holds a 256th of all fingerprints, so whole lists must not be
 paired. The index therefore intersects lists three positions at a time: of any five positions
 three lie in one half of the fingerprint, so the four triples of either half, eight in all, lose
-no pair. Within an intersected list the shared positional bytes of each pair are tallied, those
-with fewer than five are dropped, the rest verified. Equal fingerprints are one entry. A list
-longer than ``LONG_LIST`` is cut by two further positions and into blocks; of each pair of
-blocks only a spanning forest of its links is emitted, so that many near copies don't make
-all their pairs.
+no pair. Within an intersected list each of the other five positions has postings of its own:
+pairs that meet in them are tallied, and those that meet in the two more that are guaranteed go
+on to be verified; a pair that meets in none is never made. Equal fingerprints are one entry. A
+list longer than ``LONG_LIST`` is intersected with two further positions, so that its entries
+reach the guaranteed number by being in it, and cut into blocks; of each pair of blocks only a
+spanning forest of its verified links is emitted, so that many near copies don't make all their
+pairs.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; equal
 rows and rows of one id are linked as their fingerprints are; a null doc_id takes part but never
@@ -21,7 +23,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -75,18 +77,14 @@ def _byte(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255))
 
 
-def _same_byte(x: Column, i: int) -> Column:
-    """Whether byte i of the two fingerprints whose exclusive or is x is the same."""
-    return x.bitwiseAND(F.lit(255 << 8 * i if i < 7 else -(1 << 56))) == 0
-
-
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) that join distinct fingerprints into their components; prints: column fp."""
     entries = [F.struct(F.lit(n).alias("triple"), _key(t).alias("bytes")) for n, t in enumerate(TRIPLES)]
     postings = prints.select("fp", F.explode(F.array(*entries)).alias("e")).select("fp", "e.triple", "e.bytes")
     sizes = postings.groupBy("triple", "bytes").agg(F.count("*").alias("n")).where("n > 1")
     lists = cut(postings.join(sizes, ["triple", "bytes"]))
-    return _short(lists.where(F.col("n") <= LONG_LIST)).unionByName(_long(lists.where(F.col("n") > LONG_LIST)))
+    short = verified(tallied(lists.where(F.col("n") <= LONG_LIST)))
+    return short.unionByName(_long(lists.where(F.col("n") > LONG_LIST)))
 
 
 def _key(positions: tuple[int, ...]) -> Column:
@@ -96,22 +94,33 @@ def _key(positions: tuple[int, ...]) -> Column:
     return key
 
 
-def _short(lists: DataFrame) -> DataFrame:
-    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    matches = sum((_same_byte(x, i).cast("int") for i in range(1, 8)), _same_byte(x, 0).cast("int"))
-    shared = [F.when(_same_byte(x, t[0]) & _same_byte(x, t[1]) & _same_byte(x, t[2]), F.lit(n)) for n, t in enumerate(TRIPLES)]
-    fits = (F.col("l.triple") == F.col("r.triple")) & (F.col("l.bytes") == F.col("r.bytes")) & (F.col("l.fp") < F.col("r.fp"))
-    fits &= (matches >= LEAST_MATCHES) & (F.bit_count(x) <= BITS) & (F.coalesce(*shared) == F.col("l.triple"))  # once, by its first shared list
-    return lists.alias("l").join(lists.alias("r"), fits).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+def _others(count: int, entry: Callable[[tuple[int, ...]], Column]) -> Column:
+    """``entry`` of every choice of so many positions outside the row's triple, as an array."""
+    parts = [F.when(F.col("triple") == n, entry(more)) for n, t in enumerate(TRIPLES) for more in combinations([p for p in range(8) if p not in t], count)]
+    return F.filter(F.array(*parts), lambda p: p.isNotNull())
+
+
+def tallied(lists: DataFrame) -> DataFrame:
+    """a, b, matches: pairs that meet in a list and in enough of its postings by one more position.
+
+    lists: fp, triple, bytes. A pair comes once for each list that it meets in.
+    """
+    entry = lambda p: F.struct(F.lit(p[0]).alias("position"), _byte(F.col("fp"), p[0]).alias("byte"))
+    postings = lists.select("fp", "triple", "bytes", F.explode(_others(1, entry)).alias("p")).select("fp", "triple", "bytes", "p.position", "p.byte")
+    key = ["triple", "bytes", "position", "byte"]
+    hits = postings.withColumnRenamed("fp", "a").join(postings.withColumnRenamed("fp", "b"), key).where("a < b")
+    counts = hits.groupBy("triple", "bytes", "a", "b").agg((F.count("*") + 3).alias("matches"))
+    return counts.where(F.col("matches") >= LEAST_MATCHES).select("a", "b", "matches")
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """a, b of the pairs whose fingerprints differ in at most ``BITS`` bits."""
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
 
 
 def _long(lists: DataFrame) -> DataFrame:
     """Sub-lists by two more positions; each in blocks, each pair of blocks in one task."""
-    parts = []
-    for n, t in enumerate(TRIPLES):
-        for more in combinations([p for p in range(8) if p not in t], LEAST_MATCHES - 3):
-            parts.append(F.when(F.col("triple") == n, F.struct(F.lit(sum(1 << p for p in more)).alias("more"), _key(more).alias("more_bytes"))))
-    own = F.filter(F.array(*parts), lambda p: p.isNotNull())
+    own = _others(LEAST_MATCHES - 3, lambda more: F.struct(F.lit(sum(1 << p for p in more)).alias("more"), _key(more).alias("more_bytes")))
     sub = lists.select("fp", "triple", "bytes", F.explode(own).alias("s")).select("fp", "triple", "bytes", "s.more", "s.more_bytes")
     key = ["triple", "bytes", "more", "more_bytes"]
     counted = sub.join(sub.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), key)
@@ -127,14 +136,13 @@ def _long(lists: DataFrame) -> DataFrame:
 
 
 def spanning(fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some fingerprints: tally, verify, then grow trees."""
+    """A spanning forest of the links among some fingerprints of one sub-list, each verified."""
     todo, edges = np.unique(fps), []
     while len(todo):
         front, todo = todo[:1], todo[1:]
         while len(front) and len(todo):
             x = front[0] ^ todo
-            tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = (tally >= LEAST_MATCHES) & (np.bitwise_count(x.view(np.uint64)) <= BITS)
+            near = np.bitwise_count(x.view(np.uint64)) <= BITS
             edges += [(int(front[0]), int(b)) for b in todo[near]]
             front, todo = np.concatenate([front[1:], todo[near]]), todo[~near]
     return edges
