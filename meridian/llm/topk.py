@@ -16,15 +16,18 @@ very many queries is dealt to several tasks. Only k rows for each query and bloc
 Defined results: vectors that are null, or hold a null or non-finite component, or whose id is
 null, take no part; of rows with one id a query uses the least vector, and all rows of its id are
 its own; shorter vectors count as ended by zeros; ties go to the smaller vec_id, equal rows are
-each a candidate; an empty table gives no row. A component times 1024 must be below 2**30.
+each a candidate; an empty table gives no row. Vectors of any length are used whole. A component
+of which floor(1024 * x) leaves 64 bits counts as the end of that range. Scores are added up and
+ranked exactly up to 38 decimal digits (larger ones are equal to the largest), and returned as the
+end of the range of 64 bits where they leave it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,13 +39,15 @@ BLOCK = 1 << 15
 QUERIES = 64
 TASK_QUERIES = 1 << 14
 SCALE = 1024
+#: Scores at most, either way: what a decimal of 38 digits holds.
+MOST = 10**38 - 1
 INDEX = "block int, ids binary, low binary, bits binary, slices binary"
 
 
 def quantised(vector: Column) -> Column:
     """floor(1024 * x) of each component; null if the vector takes no part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(SCALE))).cast("int")))
+    return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(SCALE)))))
 
 
 class Slices:
@@ -52,11 +57,11 @@ class Slices:
         """values: int64, a row for each vector."""
         self.rows, self.dims = values.shape
         self.low = values.min(axis=0) if self.rows else np.zeros(self.dims, np.int64)
-        span = values - self.low
+        span = values.view(np.uint64) - self.low.view(np.uint64)  # right for any 64 bits, as it wraps
         self.bits = [int(m).bit_length() for m in span.max(axis=0)] if self.rows else [0] * self.dims
         self.words = -(-self.rows // 64)
         self.valid = self._packed(np.ones((self.rows, 1), bool))[0]
-        self.slices = [self._packed((span[:, d : d + 1] >> np.arange(b)) & 1) for d, b in enumerate(self.bits)]
+        self.slices = [self._packed((span[:, d : d + 1] >> np.arange(b, dtype=np.uint64)) & np.uint64(1)) for d, b in enumerate(self.bits)]
 
     @classmethod
     def read(cls, rows: int, low: bytes, bits: bytes, slices: bytes) -> Slices:
@@ -81,7 +86,7 @@ class Slices:
 
     def sums(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of each row's inner product, least significant first, less the offset."""
-        offset, levels = int(query @ self.low), {}
+        offset, levels = sum(int(q) * int(x) for q, x in zip(query, self.low)), {}
         for d, q in enumerate(int(x) for x in query):
             if not q or not self.bits[d]:
                 continue
@@ -125,10 +130,11 @@ class Slices:
                 if have == k:
                     break
         rows = np.concatenate([_set(sure), _set(open_rows)[: k - have]])  # ids ascend within the block
-        scores = np.full(len(rows), offset, np.int64)
+        scores = [offset] * len(rows)
         for weight, s in enumerate(slices):
-            scores += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << weight
-        return [(int(ids[r]), int(x)) for r, x in zip(rows, scores)]
+            bits = (s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
+            scores = [x + (int(bit) << weight) for x, bit in zip(scores, bits)]
+        return [(int(ids[r]), x) for r, x in zip(rows, scores)]
 
 
 def _added(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -211,8 +217,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
                 for query_id, q in zip(queries.field("vec_id").to_pylist(), queries.field("q").to_pylist()):
                     q = (q + [0] * own.dims)[: own.dims]
                     out += [(query_id, *x) for x in own.top(np.array(q, np.int64), k, ids, query_id)]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64"), preserve_index=False)
+                scores = pa.array([Decimal(max(-MOST, min(MOST, x[2]))) for x in out], pa.decimal128(38, 0))
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)), scores], ["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = pairs.mapInArrow(found, "query_id long, vec_id long, score long")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = pairs.mapInArrow(found, "query_id long, vec_id long, score decimal(38,0)")
+    ends = [F.lit(x).cast("decimal(38,0)") for x in (-(1 << 63), (1 << 63) - 1)]
+    held = F.greatest(ends[0], F.least(ends[1], F.col("score"))).cast("long")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", held.alias("score"))
