@@ -6,12 +6,14 @@ and so on until a level takes no wrong key. Over the keys it was built for, whic
 of the corpus, its answers are exact, and judging a page needs no join.
 
 Keys are dealt by their digest into shards of about ``per_shard`` keys; a shard's cascade is
-built in one task. Cascades are broadcast in blocks of at most ``block_bytes``; pages pass one
-block after another, so neither the list nor the corpus bounds the size.
-
-Defined results: a null url, or one without ``://``, has an empty host and path; a null key
-counts as the empty key; repeated pages are judged one by one; with an empty list or an empty
-table no key is listed. Extra columns pass through.
+built in one task. Cascades are broadcast in blocks of at most ``block_bytes``. If there are
+several, the rows pass them one after another and are written in between, so driver and workers
+hold one block at a time, however long the list is.
+
+Defined results: a null url, or one without ``://``, has an empty host and path; a url of any
+length is judged whole; a null key counts as the empty key; of rules of equal length the first
+given; repeated pages are judged one by one; with an empty list or an empty table no key is
+listed. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     rules: (verdict, host followed by the start of a path). Of equally long ones, the first.
     """
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for said, text in sorted(rules, key=lambda r: len(r[1])):
+    for said, text in sorted(reversed(rules), key=lambda r: len(r[1])):  # what comes later is asked first
         name, slash, rest = text.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(said)).otherwise(verdict)
@@ -127,9 +129,13 @@ def with_listed(df: DataFrame, key: Column, cascade: DataFrame, shards: int, blo
         room -= n
     digest = spare([*df.columns, column], "digest")
     out = df.withColumn(digest, _digest(key)).withColumn(column, F.lit(False))
-    for first, last in blocks:
+    for n, (first, last) in enumerate(blocks):
         rows = cascade.where(F.col("shard").between(first, last)).orderBy("shard", "level").collect()  # at most block_bytes
-        out = out.withColumn(column, F.col(column) | _asks(df.sparkSession.sparkContext.broadcast([tuple(r) for r in rows]), shards)(F.col(digest)))
+        shared = df.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+        out = out.withColumn(column, F.col(column) | _asks(shared, shards)(F.col(digest)))
+        if n < len(blocks) - 1:  # one block in memory at a time
+            out = cut(out)
+            shared.destroy()
     return out.drop(digest)
 
 
