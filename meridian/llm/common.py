@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,13 +78,41 @@ def bounded_sample(df: DataFrame, group: Column, per_group: int, groups: list) -
     return out
 
 
+def one_each(rows: DataFrame, label: str) -> DataFrame:
+    """doc_id, ``label`` and text of a sample: of rows of one id and label, the least text.
+
+    Repeats are summed up before the shuffle, so an id that very many rows have is one row.
+    """
+    return rows.groupBy("doc_id", label).agg(F.min("text").alias("text"))
+
+
+#: Bytes of features that a driver is sent to fit a model on, at most.
+SAMPLE_BYTES = 128 << 20
+
+
+def gathered(made: DataFrame, label: str, features: str, most: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """A bounded sample's features at the driver, by doc_id and label.
+
+    made: doc_id, label and a binary column, a few thousand rows. Rows are taken in turn from
+    each label, by id hash, while their bytes are within ``most``; the first of each is always.
+    """
+    held = cut(made)
+    turn = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sizes = held.select("doc_id", label, F.length(features).alias("_bytes")).withColumn("_turn", turn)
+    so_far = F.sum("_bytes").over(Window.orderBy("_turn", label).rowsBetween(Window.unboundedPreceding, 0))  # of the sample
+    taken = sizes.withColumn("_so_far", so_far).where((F.col("_turn") == 1) | (F.col("_so_far") <= most)).select(F.col("doc_id").alias("_id"), F.col(label).alias("_label"))
+    got = held.join(F.broadcast(taken), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col(label).eqNullSafe(F.col("_label"))).drop("_id", "_label")
+    return got.toPandas().sort_values(["doc_id", label], kind="stable")
+
+
 def hash_sample(df: DataFrame, by: str, per_group: int) -> DataFrame:
-    """doc_id and ``by`` of at most ``per_group`` rows of each group, those of least id hash.
+    """doc_id, ``by`` and place of at most ``per_group`` ids of each group, those of least hash.
 
-    Groups are counted first (summed up before the shuffle), and only rows whose hash is likely
-    to be among the least of their group go on to be ranked, so no group, however large, meets
-    in one task. df: doc_id and ``by``.
+    Groups' distinct ids are counted first (summed up before the shuffle), and only ids whose hash is
+    likely to be among the least of their group go on to be ranked, so no group, however large,
+    meets in one task. df: doc_id and ``by``, in which rows may repeat.
     """
+    df = df.select("doc_id", by).distinct()
     counts = df.groupBy(by).agg(F.count("*").alias("_n"))
     if counts.count() <= 10_000:
         counts = F.broadcast(counts)

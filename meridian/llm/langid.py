@@ -7,8 +7,10 @@ fixed penalty for n-grams that the profile lacks. The nearest profile's language
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every
 text if nothing could be learned; equal distances go to the smaller language name; rows whose
-lang is null are not learned from; equal frequencies rank by the n-gram's code points. Extra
-columns are ignored. Repeated rows are judged one by one.
+lang is null are not learned from, of rows of one id and lang only the least text is; equal
+frequencies rank by the n-gram's code points; letters are what Unicode calls so, in any plane. A
+text of any length is one count of n-grams. An empty table gives no row. Extra columns are
+ignored. Repeated rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import fold_of, hash_sample, texts_of
+from meridian.llm.common import fold_of, hash_sample, one_each, texts_of
 
 #: n-grams in a profile, and of a document that are compared with it.
 PROFILE = 400
@@ -39,6 +41,9 @@ def grams(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes, counts) of the n-grams of a whole text. A code holds up to three code points."""
     cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     is_letter = letters[np.minimum(cps, _LETTERS - 1)]
+    if len(cps) and cps.max() >= _LETTERS:  # rare
+        far = cps >= _LETTERS
+        is_letter[far] = [chr(c).isalpha() for c in cps[far].tolist()]
     if not is_letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     c = np.concatenate([[BLANK], np.where(is_letter, cps, BLANK), [BLANK]])
@@ -80,7 +85,7 @@ def learn(documents: DataFrame, lang: str = "lang", per_lang: int = SAMPLE_PER_L
     if held_out:
         known = known.where(fold_of(F.col("doc_id"), held_out[0]) != held_out[1])
     picked = hash_sample(known.select("doc_id", "lang"), "lang", per_lang)
-    rows = known.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    rows = one_each(known.join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"]), "lang")  # per_lang rows of each
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()

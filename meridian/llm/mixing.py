@@ -15,7 +15,10 @@ Defined results: a null or empty text has no tokens, the classifier's prior as i
 and takes part like any other; labels that are null are not learned from; without a labelled
 document there is one domain, ``unlabelled``; weights of domains that the classifier doesn't know
 are left out and the rest scaled to sum 1; a domain without a weight is left out of the fit, so its
-documents' rates only change by their share of domains with one; if no weight is left, all rates are 1. An empty table gives no row. Extra columns pass through ``mixed``.
+documents' rates only change by their share of domains with one; if no weight is left, all rates
+are 1. Equal texts have equal posteriors and rates, repeated rows as many copies each; of rows of
+one id and label, the least text is learned from; texts of any length are counted whole. An empty
+table gives no row. Extra columns pass through ``mixed``.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from meridian.llm.common import cut, each, hash_sample, texts_of
+from meridian.llm.common import cut, each, hash_sample, one_each, spare, texts_of
 from meridian.llm.common import mixed as mixed_bits
 
 SLOTS = 1 << 12
@@ -80,7 +83,8 @@ def learn(documents: DataFrame, labelled: DataFrame) -> SoftDomains:
             x = [features(t).astype(np.float32).tobytes() if len(t) > 1 else b"" for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("domain"), pa.array(x, pa.binary())], ["doc_id", "domain", "x"])
 
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # at most SAMPLE rows
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most SAMPLE ids
+    rows = one_each(rows, "domain").withColumn("text", F.col("text").cast("binary"))
     got = rows.select("doc_id", "domain", "text").mapInArrow(found, "doc_id long, domain string, x binary").toPandas()
     got = got[got["x"].map(len) > 0].drop_duplicates(["doc_id", "domain"]).sort_values(["doc_id", "domain"])
     domains = sorted(got["domain"].unique())
@@ -199,12 +203,19 @@ def copies_of(rate: Column, doc_id: Column, seed: int = 17) -> Column:
 
 
 def rates(documents: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None) -> tuple[DataFrame, dict]:
-    """(doc_id, source, tokens, a posterior for each domain, rate, copies; the fit's report)."""
+    """(doc_id, source if there is one, tokens, a posterior p_<domain> for each, rate, copies; the fit's report).
+
+    Of domains whose names differ in case only, the later ones' columns are called _p_<domain> and so on.
+    """
     model = learn(documents, labelled)
-    table = cut(with_posteriors(documents, model, ["doc_id", "source"]))
+    own = [c for c in ("doc_id", "source") if c in documents.columns]
+    table = cut(with_posteriors(documents, model, own))
     rate, report = fit_rates(table, model, weights, budget)
-    posteriors = [F.col(f"_p{i}").alias(f"p_{d}") for i, d in enumerate(model.domains)]
-    rows = table.select(F.col("_c0").alias("doc_id"), F.col("_c1").alias("source"), F.col("_tokens").alias("tokens"), *posteriors, rate.alias("rate"))
+    names: list[str] = []
+    for d in model.domains:
+        names.append(spare([*names, *own, "tokens", "rate", "copies"], f"p_{d}"))
+    posteriors = [F.col(f"_p{i}").alias(n) for i, n in enumerate(names)]
+    rows = table.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)], F.col("_tokens").alias("tokens"), *posteriors, rate.alias("rate"))
     return rows.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"))), report
 
 

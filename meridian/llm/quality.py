@@ -5,10 +5,12 @@ linear support vector machine is fitted on the scaled indicators by dual coordin
 N-grams are words, word pairs, and pairs of word shapes with the share of the text that they
 take (in powers of two), all hashed to a fixed number of slots.
 
-Defined results: a null or empty text has no n-gram and gets the model's intercept; a label
-that is null or not 0 or 1 is not learned from; with labels of one class only, every score is
-that class's (0 or 1), and with none it is 0.5. Extra columns are ignored. Repeated rows are
-scored one by one.
+Defined results: a null or empty text has no n-gram and gets the model's intercept, a text of any
+length is one set of n-grams; a label that is null or not 0 or 1 is not learned from; with labels
+of one class only, every score is that class's (0 or 1), and with none it is 0.5. An id with
+labels of both classes is learned from as both; of rows of one id, the least text. A score of
+exactly 0.5 is predicted 1. An empty table gives no row. Extra columns are ignored. Repeated rows
+are scored one by one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from meridian.llm.common import WordCodes, bounded_sample, fold_of, mixed, spare, texts_of
+from meridian.llm.common import WordCodes, bounded_sample, fold_of, gathered, mixed, one_each, spare, texts_of
 
 SLOTS = 1 << 18
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -107,8 +109,8 @@ def collected_grams(rows: DataFrame, label: str) -> tuple[list[np.ndarray], np.n
             found = [ngrams(t, codes).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column(label), pa.array(found, pa.binary())], ["doc_id", label, "grams"])
 
-    got = rows.select("doc_id", label, "text").mapInArrow(grams, f"doc_id long, {label} int, grams binary").toPandas()
-    got = got.sort_values(["doc_id", label], kind="stable")
+    made = one_each(rows, label).mapInArrow(grams, f"doc_id long, {label} int, grams binary")
+    got = gathered(made, label, "grams")
     return [np.frombuffer(g, np.int32) for g in got["grams"]], got[label].to_numpy()
 
 
@@ -120,8 +122,9 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_C
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1))
     if held_out:
         known = known.where(fold_of(F.col("doc_id"), held_out[0]) != held_out[1])
+    known = known.join(documents.select("doc_id"), "doc_id", "left_semi").distinct()
     picked = bounded_sample(known, F.col("quality"), per_class, [0, 1])
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_class rows
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_class ids
     return fit(*collected_grams(rows, "quality"))
 
 

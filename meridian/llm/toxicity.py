@@ -4,9 +4,12 @@ score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) over the dist
 a text, so that two terms can weigh together what neither weighs alone. Terms are lower-cased
 words without marks around them and their first four letters, hashed to a fixed number of slots.
 
-Defined results: a null or empty text has no term and gets the intercept's score; a label that
-is null or not 0 or 1 is not learned from; with labels of one class only, every score is that
-class's, and with none it is 0.5. Extra columns are ignored. Repeated rows are scored one by one.
+Defined results: a null or empty text has no term and gets the intercept's score, a text of any
+length is one set of terms; a label that is null or not 0 or 1 is not learned from; with labels
+of one class only, every score is that class's, and with none it is 0.5. An id with labels of
+both classes is learned from as both; of rows of one id, the least text. A score of exactly 0.5
+is predicted toxic. An empty table gives no row. Extra columns are ignored. Repeated rows are
+scored one by one.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from meridian.llm.common import bounded_sample, fold_of, spare, texts_of
+from meridian.llm.common import bounded_sample, fold_of, gathered, one_each, spare, texts_of
 
 SLOTS = 1 << 22
 FACTORS = 4
@@ -114,11 +117,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: floa
     x = np.clip(_evidence(counts[1.0][tells], counts[-1.0][tells], n) / STANDARD_ERRORS, np.sqrt(LEAST), 1.0) ** 2
     order = np.random.default_rng(11)
     m = FactorizationMachine(kept, x, -1.0, START * np.clip(odds, -4.0, 4.0) * x, order.normal(0, 0.03, (len(kept), FACTORS)))
-    places = []
-    for r in rows:
-        at = np.searchsorted(kept, r)
-        at = at[at < len(kept)] if len(kept) else at[:0]
-        places.append(at[np.isin(kept[at], r)])
+    places = [places_of(kept, r) for r in rows]
     g0, gw, gv = 1e-2, np.full(len(kept), 1e-2), np.full((len(kept), FACTORS), 1e-2)
     weight = {s: len(y) / (2.0 * n[s]) for s in n}
     for _ in range(epochs):
@@ -142,6 +141,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: floa
     return m
 
 
+def places_of(kept: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Where a text's slots are among those that take part, each once; both ascend."""
+    at = np.searchsorted(kept, slots)
+    inside = at < len(kept)
+    at, slots = at[inside], slots[inside]
+    return at[kept[at] == slots]
+
+
 def _evidence(toxic: np.ndarray, clean: np.ndarray, n: dict) -> np.ndarray:
     """Roots of the likelihood ratios of the terms' counts in the classes, which hold for rare terms too."""
     share = (toxic + clean) / (n[1.0] + n[-1.0])
@@ -174,8 +181,8 @@ def collected_terms(rows: DataFrame, label: str) -> tuple[list[np.ndarray], np.n
             slots = pa.array([known.of(t).tobytes() for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column(label), slots], ["doc_id", label, "slots"])
 
-    got = rows.select("doc_id", label, "text").mapInArrow(found, f"doc_id long, {label} int, slots binary").toPandas()
-    got = got.sort_values(["doc_id", label], kind="stable")
+    made = one_each(rows, label).mapInArrow(found, f"doc_id long, {label} int, slots binary")
+    got = gathered(made, label, "slots")
     return [np.frombuffer(s, np.int32) for s in got["slots"]], got[label].to_numpy()
 
 
@@ -187,9 +194,9 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_C
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
     if held_out:
         known = known.where(fold_of(F.col("doc_id"), held_out[0]) != held_out[1])
-    known = known.join(documents.select("doc_id"), "doc_id", "left_semi")
+    known = known.join(documents.select("doc_id"), "doc_id", "left_semi").distinct()
     picked = bounded_sample(known, F.col("toxic"), per_class, [0, 1])
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_class rows
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * per_class ids
     return fit(*collected_terms(rows, "toxic"))
 
 
