@@ -10,8 +10,8 @@ that follow. If a step is centered, the steps before it are then moved as late a
 within their own windows and availability, but not within the query's window. A duration of zero
 succeeds without a place. A step that can't be moved fails the query.
 
-The number of steps is small and known to the driver; each is one join and one aggregate over
-all queries, partitioned by query_id throughout.
+The number of steps is small and known to the driver. A query is one row with its availability
+for each step as an array, so all steps are placed after one shuffle by query_id.
 """
 
 from __future__ import annotations
@@ -39,8 +39,7 @@ def place(steps: DataFrame, availability: DataFrame, count: int) -> DataFrame:
 
     count: the number of steps of the longest query.
     """
-    state = _forward(_wide(steps, count), _merged(availability), count)
-    state = _centered(state, _merged(availability), count)
+    state = _centered(_forward(_wide(steps, count).join(_offered(availability, count), "query_id", "left"), count), count)
     each = F.array(*(F.struct(F.lit(k).alias("step"), F.col(f"has_{k}").alias("has"), F.col(f"ok_{k}").alias("ok"), F.col(f"lo_{k}").alias("lo"), F.col(f"hi_{k}").alias("hi")) for k in range(count)))
     rows = state.select("query_id", F.col("broken").alias("broken"), F.explode(each).alias("s")).where("s.has")
     ok = F.col("s.ok") & ~F.col("broken")
@@ -53,8 +52,11 @@ def results(placed: DataFrame) -> DataFrame:
     return rows.select("query_id", "success", F.when(F.col("success"), F.col("places")).otherwise(F.slice("places", 1, 0)).alias("places"))
 
 
-def _merged(availability: DataFrame) -> DataFrame:
-    return sets.merge(availability, ["query_id", "step"])
+def _offered(availability: DataFrame, count: int) -> DataFrame:
+    """A row for each query with its steps' merged availability side by side, as arrays."""
+    spot = F.struct("lo", "hi")
+    each = [F.collect_list(F.when(F.col("step") == k, spot)).alias(f"av_{k}") for k in range(count)]
+    return sets.merge(availability, ["query_id", "step"]).groupBy("query_id").agg(*each)
 
 
 def _wide(steps: DataFrame, count: int) -> DataFrame:
@@ -64,23 +66,25 @@ def _wide(steps: DataFrame, count: int) -> DataFrame:
     return rows.withColumns({"ptr": F.col("win_lo"), "failed": F.lit(False)})
 
 
-def _fitting(state: DataFrame, availability: DataFrame, k: int, lo: Column, hi: Column, backward: bool) -> DataFrame:
+def _fitting(state: DataFrame, k: int, lo: Column, hi: Column, backward: bool) -> DataFrame:
     """state with _at: the first start (the last end) of step k's availability in [lo, hi) that fits."""
-    step = availability.where(F.col("step") == k).select("query_id", F.col("lo").alias("_alo"), F.col("hi").alias("_ahi"))
-    pairs = state.join(step, "query_id", "left").withColumns({"_clo": F.greatest(lo, F.col("_alo")), "_chi": F.least(hi, F.col("_ahi"))})
-    dur, clo, chi = F.col(f"s_{k}.dur"), F.col("_clo"), F.col("_chi")
-    anchor = chi if backward else clo
-    fits = F.col("_alo").isNotNull() & (clo < chi) & ((clo <= NINF) | (chi >= PINF) | (chi - clo >= dur)) & (anchor > NINF) & (anchor < PINF)
-    picked = (F.max if backward else F.min)(F.when(fits, anchor))
-    keep = [c for c in state.columns if c != "query_id"]
-    return pairs.groupBy("query_id").agg(*(F.first(c).alias(c) for c in keep), picked.alias("_at"))
+    dur = F.col(f"s_{k}.dur")
+    bounded = state.withColumns({"_from": lo, "_to": hi})
+    clipped = F.transform(f"av_{k}", lambda a: F.struct(F.greatest(F.col("_from"), a["lo"]).alias("lo"), F.least(F.col("_to"), a["hi"]).alias("hi")))
 
+    def fits(a: Column) -> Column:
+        anchor = a["hi"] if backward else a["lo"]
+        return (a["lo"] < a["hi"]) & ((a["lo"] <= NINF) | (a["hi"] >= PINF) | (a["hi"] - a["lo"] >= dur)) & (anchor > NINF) & (anchor < PINF)
 
-def _forward(state: DataFrame, availability: DataFrame, count: int) -> DataFrame:
+    spots = F.transform(F.filter(clipped, fits), lambda a: a["hi"] if backward else a["lo"])
+    return bounded.withColumn("_at", (F.array_max if backward else F.array_min)(spots)).drop("_from", "_to")
+
+
+def _forward(state: DataFrame, count: int) -> DataFrame:
     for k in range(count):
         s = F.col(f"s_{k}")
         lo, hi = F.greatest("win_lo", "ptr", s["step_lo"]), F.least(F.col("win_hi"), s["step_hi"])
-        state = _fitting(state, availability, k, lo, hi, False)
+        state = _fitting(state, k, lo, hi, False)
         has, at = s.isNotNull(), F.col("_at")
         free = s["locked"] & ((F.col("ptr") <= s["step_lo"]) | (F.col("ptr") <= NINF))
         ok = has & ~F.col("failed") & F.when(s["locked"], free).otherwise((s["dur"] == 0) | at.isNotNull())
@@ -92,12 +96,12 @@ def _forward(state: DataFrame, availability: DataFrame, count: int) -> DataFrame
     return state
 
 
-def _centered(state: DataFrame, availability: DataFrame, count: int) -> DataFrame:
+def _centered(state: DataFrame, count: int) -> DataFrame:
     state = state.withColumns({"limit": F.lit(None).cast("bigint"), "broken": F.lit(False)})
     for k in range(count - 1, -1, -1):
         s, limit = F.col(f"s_{k}"), F.col("limit")
         hi = F.when(limit >= s["step_hi"], s["step_hi"]).otherwise(limit)
-        state = _fitting(state, availability, k, s["step_lo"], hi, True)
+        state = _fitting(state, k, s["step_lo"], hi, True)
         there = F.col(f"has_{k}") & ~F.col("failed") & F.col(f"lo_{k}").isNotNull()
         moves = there & ~s["center"] & limit.isNotNull() & (s["dur"] > 0)
         reachable = (limit >= s["step_hi"]) | (limit > s["step_lo"])

@@ -136,15 +136,29 @@ def find(df: DataFrame, length: Column | int, by: Sequence[str] = KEY, backward:
 
 
 def at(merged: DataFrame, moments: DataFrame, by: Sequence[str] = KEY, how: str = "inner") -> DataFrame:
-    """The interval that holds each moment t; moments: key columns, t and more."""
-    inside = same(moments, merged, list(by)) & (merged["lo"] <= moments["t"]) & (moments["t"] < merged["hi"])
-    return moments.join(merged, inside, how).select(moments["*"], merged["lo"], merged["hi"])
+    """The interval that holds each moment t; moments: key columns, t and more (but no lo or hi).
+
+    A merged set's intervals are disjoint, so only the last that begins by then can hold it.
+    """
+    rows = _begun(merged, moments, F.col("t"), by)
+    inside = F.col("_hi") > F.col("_asked.t")
+    if how == "inner":
+        rows = rows.where(inside)
+    return rows.select("_asked.*", F.when(inside, F.col("_lo")).alias("lo"), F.when(inside, F.col("_hi")).alias("hi"))
 
 
 def enclosing(merged: DataFrame, asked: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     """Those of ``asked`` that lie inside one interval of the set."""
-    fits = same(asked, merged, list(by)) & (merged["lo"] <= asked["lo"]) & (merged["hi"] >= asked["hi"])
-    return asked.join(merged, fits, "left_semi")
+    return _begun(merged, asked, F.col("lo"), by).where(F.col("_hi") >= F.col("_asked.hi")).select("_asked.*")
+
+
+def _begun(merged: DataFrame, asked: DataFrame, at: Column, by: Sequence[str]) -> DataFrame:
+    """_asked, _lo, _hi: the asked rows with the last interval of their key that begins at or before ``at``."""
+    from meridian.operators import steps
+
+    rows = asked.select(*by, at.alias("t"), F.struct(*asked.columns).alias("_asked"))
+    held = merged.select(*by, F.col("lo").alias("t"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    return steps.asof(rows, held, ["_lo", "_hi"], by)
 
 
 def span(df: DataFrame, by: Sequence[str] = KEY) -> DataFrame:

@@ -29,6 +29,26 @@ def pairs(origins: DataFrame, destinations: DataFrame) -> DataFrame:
     return o.crossJoin(d)
 
 
+def asked_pairs(asked: DataFrame, origins: DataFrame, destinations: DataFrame) -> DataFrame:
+    """The asked pairs (o, d) of known locations, in the form of ``pairs``: no more cells than are asked for."""
+    o = origins.select(F.col("id").alias("o"), F.col("lat").alias("olat"), F.col("lon").alias("olon"))
+    d = destinations.select(F.col("id").alias("d"), F.col("lat").alias("dlat"), F.col("lon").alias("dlon"))
+    return asked.select("o", "d").distinct().join(o, "o").join(d, "d").select(*o.columns, *d.columns)
+
+
+def built(od: DataFrame) -> DataFrame:
+    """A matrix in long form, once it is sure that every origin has one cell to every destination; else raises."""
+    if not complete(od):
+        raise ValueError("a matrix needs exactly one cell for each origin and destination")
+    return od
+
+
+def validated(clusters: DataFrame) -> DataFrame:
+    """id, cluster of clusters given as rows; raises, as the plan runs, at a location that is in two."""
+    held = clusters.groupBy("id").agg(F.min("cluster").alias("cluster"), F.max("cluster").alias("_last"))
+    return held.where(F.assert_true(F.col("cluster") == F.col("_last"), "a location is in two clusters").isNull()).drop("_last")
+
+
 OD = ("olat", "olon", "dlat", "dlon")
 
 

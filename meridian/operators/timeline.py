@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.operators import sets, steps
-from meridian.operators.frames import same
+from meridian.functions.moment import DAY
+from meridian.operators import joins, sets, steps
 
 LAYER = ("timeline", "layer")
 INTERVAL, PRESENCE, STRICT, OVERLAP, MERGE = "INTERVAL", "PRESENCE", "EVENT_STRICT", "EVENT_OVERLAP", "EVENT_MERGE"
@@ -32,12 +32,14 @@ def intervals(log: DataFrame, by: Sequence[str] = LAYER) -> DataFrame:
     return sets.merge(steps.winners(written, by).where("value"), by)
 
 
-def conflicts(log: DataFrame, by: Sequence[str] = LAYER) -> DataFrame:
-    """seq, with_seq: puts of a strict layer that fall on an earlier event. There should be none."""
-    a = log.where(F.col("op") == "put")
-    b = a.select(*by, F.col("seq").alias("with_seq"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    met = a.join(b, list(by)).where((F.col("with_seq") < F.col("seq")) & (F.col("_lo") < F.col("hi")) & (F.col("lo") < F.col("_hi")))
-    return met.select(*by, "seq", "with_seq")
+def conflicts(log: DataFrame, by: Sequence[str] = LAYER, slice_us: int = DAY) -> DataFrame:
+    """seq, with_seq: puts of a strict layer that fall on an earlier event. There should be none.
+
+    Only events of one time slice are compared; the bounds of events must be finite.
+    """
+    puts = log.where((F.col("op") == "put") & (F.col("lo") < F.col("hi"))).select(*by, "seq", "lo", "hi")
+    met = joins.overlapping(puts, puts, by, slice_us).where(F.col("b_seq") < F.col("seq"))
+    return met.select(*by, "seq", F.col("b_seq").alias("with_seq"))
 
 
 def merge_layer(log: DataFrame, by: Sequence[str] = LAYER, slice_us: int | None = None) -> DataFrame:
@@ -108,10 +110,15 @@ def busy(events: DataFrame, by: Sequence[str] = LAYER) -> DataFrame:
     return sets.merge(events, by)
 
 
-def free(windows: DataFrame, events: DataFrame, by: Sequence[str] = LAYER) -> DataFrame:
-    """Those windows (key columns, lo, hi) in which a layer has no event."""
-    met = same(windows, events, list(by)) & (events["lo"] < windows["hi"]) & (windows["lo"] < events["hi"])
-    return windows.join(events, met, "left_anti")
+def free(windows: DataFrame, events: DataFrame, by: Sequence[str] = LAYER, slice_us: int = DAY) -> DataFrame:
+    """Those windows (key columns, lo, hi) in which a layer has no event.
+
+    Only windows and events of one time slice are compared; bounds must be finite.
+    """
+    own = [*by, "lo", "hi"]
+    rows = events.where(F.col("lo") < F.col("hi")).select(*own)
+    met = joins.overlapping(windows.where(F.col("lo") < F.col("hi")).select(*own).distinct(), rows, by, slice_us)
+    return windows.join(met.select(*own).distinct(), own, "left_anti")
 
 
 def add_layer(layers: DataFrame, timeline: str, layer: str, kind: str, tags=None) -> DataFrame:

@@ -15,6 +15,13 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "rel_during": (_FOUR, "BOOLEAN", "al > bl AND ah < bh"),
     "rel_finishes": (_FOUR, "BOOLEAN", "al > bl AND ah = bh"),
     "rel_equals": (_FOUR, "BOOLEAN", "al = bl AND ah = bh"),
+    "rel_finished_by": (_FOUR, "BOOLEAN", "al < bl AND ah = bh"),
+    "rel_contains": (_FOUR, "BOOLEAN", "al < bl AND ah > bh"),
+    "rel_started_by": (_FOUR, "BOOLEAN", "al = bl AND ah > bh"),
+    "rel_overlapped_by": (_FOUR, "BOOLEAN", "al > bl AND al < bh AND ah > bh"),
+    "rel_met_by": (_FOUR, "BOOLEAN", "al = bh"),
+    "rel_after": (_FOUR, "BOOLEAN", "al > bh"),
+    "rel_distinct": (_FOUR, "BOOLEAN", "ah <= bl OR bh <= al"),
     "rel_intersects": (_FOUR, "BOOLEAN", "al < bh AND bl < ah"),
     "rel_connects": (_FOUR, "BOOLEAN", "al <= bh AND bl <= ah"),
     "rel_adjacent": (_FOUR, "BOOLEAN", "ah = bl OR al = bh"),
