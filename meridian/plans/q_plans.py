@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridian.functions import tags as T
@@ -227,6 +228,18 @@ def tl_overlap_lanes(s, d):
     return timeline.lanes(log(s, d))
 
 
+@query(f"""WITH {EV}, {_TL}, p AS (SELECT key, layer, lo AS t FROM tl UNION SELECT key, layer, hi FROM tl),
+ sg AS (SELECT key, layer, t AS lo, lead(t) OVER (PARTITION BY key, layer ORDER BY t) AS hi FROM p),
+ rest AS (SELECT x.key, x.layer, s.hi - s.lo AS n FROM tl x JOIN sg s ON s.key = x.key AND s.layer = x.layer AND x.lo <= s.lo AND s.hi <= x.hi WHERE x.op = 'put'
+  AND NOT EXISTS (SELECT 1 FROM tl r WHERE r.op = 'remove' AND r.key = x.key AND r.layer = x.layer AND r.seq > x.seq AND r.lo <= s.lo AND s.hi <= r.hi))
+ SELECT key AS timeline, layer, CAST(sum(n) AS BIGINT) AS total, 0::BIGINT AS clashes FROM rest GROUP BY key, layer""")
+def tl_overlap_totals(s, d):
+    """What an overlap layer's lanes hold in all (each put less the removes after it), and the events that overlap another of their lane."""
+    before = F.lag("hi").over(Window.partitionBy("timeline", "layer", "lane").orderBy("lo"))
+    rows = timeline.lanes(log(s, d)).withColumn("clash", F.coalesce((before > C("lo")).cast("bigint"), F.lit(0).cast("bigint")))
+    return rows.groupBy("timeline", "layer").agg(F.sum(C("hi") - C("lo")).alias("total"), F.sum("clash").alias("clashes"))
+
+
 @query(f"""WITH {EV}, {_TL}, e AS (SELECT * FROM tl WHERE op = 'put') SELECT key AS timeline, layer, seq, lo, least(hi, {JAN10}) AS hi FROM e WHERE lo < {JAN10}
  UNION ALL SELECT key, layer, seq, greatest(lo, {JAN20}), hi FROM e WHERE hi > {JAN20}""")
 def tl_remove(s, d):
@@ -281,12 +294,12 @@ def json_roundtrip_tagged(s, d):
     return _sets(s, d).select(x.alias("x")).select("x.id", F.size("x.tags").alias("n_tags"), F.explode("x.collection").alias("c")).select("id", "n_tags", "c.lo", "c.hi")
 
 
-@query(f"WITH {EV} SELECT key, type AS id, count(*) AS n FROM ev GROUP BY ALL")
+@query(f"WITH {EV} SELECT key, type AS id, CAST(CASE WHEN type IN ('view', 'click', 'purchase', 'error') THEN 1 ELSE 0 END AS INTEGER) AS n_tags, lo, hi FROM ev")
 def json_roundtrip_container(s, d):
     each = container_rows(s, d).groupBy("container", "id", "tags").agg(F.collect_list(F.struct("lo", "hi")).alias("collection"))
     rows = each.groupBy("container").agg(F.collect_list(F.struct("id", "tags", "collection")).alias("r"))
     read = rows.select(C("container").alias("key"), F.explode(J.read_container(J.write_container(C("r")))).alias("x"))
-    return read.select("key", "x.id", F.size("x.collection").cast("bigint").alias("n"))
+    return read.select("key", "x.id", F.size("x.tags").alias("n_tags"), F.explode("x.collection").alias("c")).select("key", "id", "n_tags", "c.lo", "c.hi")
 
 
 _DISJOINT = f"lg AS (SELECT key, seq, lo, hi, type AS value FROM ev), {winning('w', 'lg')}, {coalesced('c', 'w', 'value')}"
@@ -307,10 +320,29 @@ def json_roundtrip_signal_map(s, d):
     return packed.select("key", F.explode(x["signals"]).alias("e")).select("key", "e.t", "e.value")
 
 
-@query(f"WITH {PRES} SELECT track, t, lat, lon FROM pres")
+def _traces(s, d):
+    """presences of each track, tagged with their seq."""
+    tags = T.build(T.tag("seq", C("seq")))
+    return tables.presences(s, d).groupBy("track").agg(F.collect_list(F.struct("t", "lat", "lon", tags.alias("tags"))).alias("presences"))
+
+
+def _untraced(read):
+    return read.select("track", "p.t", "p.lat", "p.lon", F.get("p.tags", F.lit(0))["value"].alias("tag"))
+
+
+@query(f"WITH {PRES} SELECT track, t, lat, lon, CAST(seq AS VARCHAR) AS tag FROM pres")
 def json_roundtrip_presences(s, d):
-    packed = tables.presences(s, d).groupBy("track").agg(F.collect_list(F.struct("t", "lat", "lon")).alias("p"))
-    return packed.select("track", F.explode(J.read_presences(J.write_presences(C("p")))).alias("p")).select("track", "p.t", "p.lat", "p.lon")
+    said = J.write_presences(C("presences"), tagged=True)
+    return _untraced(_traces(s, d).select("track", F.explode(J.read_presences(said)).alias("p")))
+
+
+@query(f"WITH {PRES} SELECT track, t, lat, lon, CAST(seq AS VARCHAR) AS tag FROM pres")
+def json_roundtrip_presence_layer(s, d):
+    """A timeline of one presence layer each."""
+    none = F.array().cast(f"array<struct<lo:bigint,hi:bigint,tags:{T.TAGS}>>")
+    layer = F.struct(F.lit("PRESENCE").alias("type"), F.lit("trace").alias("id"), F.array().cast(T.TAGS).alias("tags"), none.alias("rows"), C("presences"))
+    read = _traces(s, d).select("track", F.explode(J.read_timeline(J.write_timeline(F.array(layer), presences=True))).alias("x"))
+    return _untraced(read.where("x.type = 'PRESENCE' and x.rows is null").select("track", F.explode("x.presences").alias("p")))
 
 
 @query(f"WITH {_TG} SELECT id, CAST(CASE WHEN st = st2 THEN 2 ELSE 3 END AS INTEGER) AS n, p AS first FROM tg")
@@ -321,7 +353,7 @@ def json_roundtrip_tags(s, d):
 _MV = """mv AS (SELECT track, t AS from_t, lat AS from_lat, lon AS from_lon, lead(t) OVER w AS to_t, lead(lat) OVER w AS to_lat, lead(lon) OVER w AS to_lon FROM pres WINDOW w AS (PARTITION BY track ORDER BY t))"""
 
 
-@query(f"WITH {PRES}, {_MV} SELECT track, from_t, to_t, {HAVERSINE.format(a='from_', b='to_')} AS distance_m FROM mv WHERE to_t IS NOT NULL")
+@query(f"WITH {PRES}, {_MV} SELECT track, from_t, from_lat, from_lon, to_t, to_lat, to_lon, {HAVERSINE.format(a='from_', b='to_')} AS distance_m FROM mv WHERE to_t IS NOT NULL")
 def json_roundtrip_track(s, d):
     from meridian.operators import presence
     from meridian.sources import text as X
@@ -329,16 +361,17 @@ def json_roundtrip_track(s, d):
     moves = presence.tracks(presence.movements(tables.presences(s, d)))
     said = J.write_track(X.format_presence(C("from_t"), C("from_lat"), C("from_lon")), X.format_presence(C("to_t"), C("to_lat"), C("to_lon")), C("distance_m"))
     read = moves.select("track", J.read_track(said).alias("x"))
-    return read.select("track", C("x.origin.t").alias("from_t"), C("x.destination.t").alias("to_t"), "x.distance_m")
+    ends = [C(f"x.{end}.{c}").alias(f"{name}_{c}") for end, name in (("origin", "from"), ("destination", "to")) for c in ("t", "lat", "lon")]
+    return read.select("track", *ends, "x.distance_m")
 
 
-@query(f"WITH {LOC} SELECT a.nation, a.id AS o, b.id AS d, a.id * 1000 + b.id AS distance_m FROM loc a JOIN loc b USING (nation)")
+@query(f"WITH {LOC} SELECT a.nation, a.id AS o, b.id AS d, a.id * 1000 + b.id AS distance_m, a.id * 7 + b.id AS duration_s FROM loc a JOIN loc b USING (nation)")
 def json_roundtrip_matrix(s, d):
     ids = tables.locations(s, d).groupBy("nation").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    cells = F.transform("ids", lambda o: F.transform("ids", lambda x: o * 1000 + x))
-    said = J.write_matrix(cells, cells, F.transform("ids", lambda x: x.cast("string")))
+    cells = lambda n: F.transform("ids", lambda o: F.transform("ids", lambda x: o * n + x))
+    said = J.write_matrix(cells(1000), cells(7), F.transform("ids", lambda x: x.cast("string")))
     read = ids.select("nation", F.explode(J.read_matrix(said)).alias("c"))
-    return read.select("nation", C("c.o").cast("bigint").alias("o"), C("c.d").cast("bigint").alias("d"), "c.distance_m")
+    return read.select("nation", C("c.o").cast("bigint").alias("o"), C("c.d").cast("bigint").alias("d"), "c.distance_m", "c.duration_s")
 
 
 @query(f"WITH {EV}, {_TL} SELECT key AS timeline, layer, lo, hi, tag FROM tl WHERE op = 'put'")

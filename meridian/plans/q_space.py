@@ -32,6 +32,11 @@ def spherical(s, d):
     return space.matrix(od(s, d), m, 0.5)
 
 
+def measured(s, d, asked):
+    """The cells of the asked pairs (o, d) only."""
+    return space.matrix(space.asked_pairs(asked, loc(s, d), loc(s, d)), space.metric(geo.haversine), 0.5)
+
+
 _B = HAVERSINE.replace("{a}lat", str(BERLIN[0])).replace("{a}lon", str(BERLIN[1])).format(b="")
 
 
@@ -91,10 +96,11 @@ def geo_cluster(s, d):
     return space.clusters(loc(s, d), RADIUS)
 
 
-@query(f"{_CLUSTER.format(same='AND onation % 2 = dnation % 2')} SELECT cluster, count(*) AS n, count(DISTINCT id) AS distinct_n FROM cl GROUP BY cluster")
+@query(f"{_CLUSTER.format(same='AND onation % 2 = dnation % 2')} SELECT id, cluster FROM cl")
 def geo_cluster_validate(s, d):
+    """The cluster of each location of one kind with its neighbours, after a check that no location is in two."""
     kind = loc(s, d).select("id", (C("nation") % 2).alias("kind"))
-    return space.clusters(loc(s, d), RADIUS, kind).groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct("id").alias("distinct_n"))
+    return space.validated(space.clusters(loc(s, d), RADIUS, kind))
 
 
 @query(f"{_CLUSTER.format(same='')} SELECT a.id AS a, b.id AS b FROM cl a JOIN cl b ON a.cluster = b.cluster AND a.id < b.id")
@@ -142,13 +148,12 @@ def od_pythagorean(s, d):
 
 @query(f"{_PAIR} SELECT o, d, {_M} AS distance_m, CAST(trunc({_M} * 0.5) AS BIGINT) AS duration_s FROM od")
 def od_build(s, d):
-    return spherical(s, d)
+    return space.built(spherical(s, d))
 
 
 @query(f"{_PAIR} SELECT o, d, {_M} AS distance_m FROM od WHERE d = o + 1")
 def od_lookup(s, d):
-    asked = loc(s, d).select(C("id").alias("o"), (C("id") + 1).alias("d"))
-    return spherical(s, d).join(asked, ["o", "d"]).select("o", "d", "distance_m")
+    return measured(s, d, loc(s, d).select(C("id").alias("o"), (C("id") + 1).alias("d"))).select("o", "d", "distance_m")
 
 
 @query(f"{_PAIR} SELECT o, d, CAST((dense_rank() OVER (ORDER BY o) - 1) // 30 AS INTEGER) AS tile_o, CAST((dense_rank() OVER (ORDER BY d) - 1) // 40 AS INTEGER) AS tile_d FROM od")
@@ -166,7 +171,8 @@ def directions(s, d):
 
 @query(f"{_RES} SELECT dir.o, dir.d, CASE WHEN od.o IS NULL THEN 0 ELSE {_M} END AS distance_m, CASE WHEN od.o IS NULL THEN 0 ELSE CAST(trunc({_M} * 0.5) AS BIGINT) END AS duration_s FROM dir LEFT JOIN od ON dir.o = od.o AND dir.d = od.d")
 def od_resolve(s, d):
-    return space.resolve(directions(s, d), spherical(s, d)).select("o", "d", "distance_m", "duration_s")
+    asked = directions(s, d)
+    return space.resolve(asked, measured(s, d, asked)).select("o", "d", "distance_m", "duration_s")
 
 
 @query(f"{_PAIR} SELECT o, d, CAST(trunc(3600.0 * {_M} / 50000.0) AS BIGINT) AS seconds FROM od")

@@ -96,9 +96,13 @@ def read_signal_map(text: Column) -> Column:
     return F.struct(x["default"].alias("default"), each.alias("signals"))
 
 
-def write_presences(presences: Column) -> Column:
-    """An array of presence texts from array<struct<t, lat, lon>>."""
-    return F.to_json(F.transform(presences, lambda p: X.format_presence(p["t"], p["lat"], p["lon"])))
+def write_presences(presences: Column, tagged: bool = False) -> Column:
+    """An array of presence texts from array<struct<t, lat, lon>>, with tags too if ``tagged``."""
+    return F.to_json(_presence_texts(presences, tagged))
+
+
+def _presence_texts(presences: Column, tagged: bool) -> Column:
+    return F.transform(presences, lambda p: X.format_presence(p["t"], p["lat"], p["lon"], p["tags"] if tagged else None))
 
 
 def read_presences(text: Column) -> Column:
@@ -147,11 +151,14 @@ def read_matrix(text: Column) -> Column:
     return F.flatten(F.transform(n, lambda o: F.transform(n, lambda d: cell(o, d))))
 
 
-def write_timeline(layers: Column) -> Column:
-    """{layers: [{type, id, tags, events | intervals}]} from array<struct<type, id, tags, rows>>.
+def write_timeline(layers: Column, presences: bool = False) -> Column:
+    """{layers: [{type, id, tags, events | intervals | presences}]} from array<struct<type, id, tags, rows>>.
 
-    rows: array<struct<lo, hi, tags>>; an event is {interval, tags}.
+    rows: array<struct<lo, hi, tags>>; an event is {interval, tags}. presences: whether layers
+    have a field of that name, array<struct<t, lat, lon, tags>>, for those of type PRESENCE.
     """
+    kind = lambda x, *types: x["type"].isin(*types)
+    traced = [lambda x: F.when(kind(x, "PRESENCE"), _presence_texts(x["presences"], True)).alias("presences")] if presences else []
     event = lambda e: F.struct(I.format_interval(e["lo"], e["hi"]).alias("interval"), _tag_lists(e["tags"]).alias("tags"))
     plain = lambda e: I.format_interval(e["lo"], e["hi"])
     each = F.transform(
@@ -160,18 +167,27 @@ def write_timeline(layers: Column) -> Column:
             x["type"].alias("type"),
             x["id"].alias("id"),
             _tag_lists(x["tags"]).alias("tags"),
-            F.when(x["type"] != "INTERVAL", F.transform(x["rows"], event)).alias("events"),
-            F.when(x["type"] == "INTERVAL", F.transform(x["rows"], plain)).alias("intervals"),
+            F.when(~kind(x, "INTERVAL", "PRESENCE"), F.transform(x["rows"], event)).alias("events"),
+            F.when(kind(x, "INTERVAL"), F.transform(x["rows"], plain)).alias("intervals"),
+            *(t(x) for t in traced),
         ),
     )
     return F.to_json(F.struct(each.alias("layers")))
 
 
 def read_timeline(text: Column) -> Column:
-    x = F.from_json(text, "layers array<struct<type:string,id:string,tags:array<array<string>>,events:array<struct<interval:string,tags:array<array<string>>>>,intervals:array<string>>>")
+    """array<struct<type, id, tags, rows, presences>>; rows is null for a presence layer, presences for any other."""
+    form = "layers array<struct<type:string,id:string,tags:array<array<string>>,events:array<struct<interval:string,tags:array<array<string>>>>,intervals:array<string>,presences:array<string>>>"
+    x = F.from_json(text, form)
     event = lambda e: F.struct(I.parse(e["interval"])["lo"].alias("lo"), I.parse(e["interval"])["hi"].alias("hi"), _tags(e["tags"]).cast(T.TAGS).alias("tags"))
     plain = lambda e: F.struct(I.parse(e)["lo"].alias("lo"), I.parse(e)["hi"].alias("hi"), F.array().cast(T.TAGS).alias("tags"))
     return F.transform(
         x["layers"],
-        lambda y: F.struct(y["type"].alias("type"), y["id"].alias("id"), _tags(y["tags"]).alias("tags"), F.coalesce(F.transform(y["events"], event), F.transform(y["intervals"], plain)).alias("rows")),
+        lambda y: F.struct(
+            y["type"].alias("type"),
+            y["id"].alias("id"),
+            _tags(y["tags"]).alias("tags"),
+            F.coalesce(F.transform(y["events"], event), F.transform(y["intervals"], plain)).alias("rows"),
+            F.transform(y["presences"], X.parse_presence).alias("presences"),
+        ),
     )
