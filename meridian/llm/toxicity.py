@@ -32,9 +32,9 @@ FACTORS = 4
 SAMPLE_PER_CLASS = 2500
 #: A slot's value is 1 if its likelihood ratio is so many standard errors from zero, less with less evidence,
 #: at least LEAST alone and LEAST_PAIRED in pairs. No slot is left out for it.
-STANDARD_ERRORS = 3.0
+STANDARD_ERRORS = 4.0
 LEAST = 0.01
-LEAST_PAIRED = 0.2
+LEAST_PAIRED = 0.05
 #: How much more a clean text called toxic counts than a toxic one missed.
 CLEAN = 3.0
 #: Linear weights begin at this share of the log-odds.
