@@ -51,7 +51,7 @@ def test_without_llm(tmp_path):
     class Gone:
         def find_spec(self, name, path=None, target=None):
             if name.startswith(("meridian.llm", "corpus_pipeline")):
-                raise ModuleNotFoundError(name)
+                raise ModuleNotFoundError(name, name=name)
     sys.meta_path.insert(0, Gone())
     import __spark_entry__ as e
     names = set(e.queries())
@@ -59,3 +59,20 @@ def test_without_llm(tmp_path):
     e.oracle_sql()
     """
     subprocess.run([sys.executable, "-c", textwrap.dedent(code)], check=True, cwd=entry.__file__.rpartition("/")[0])
+
+
+def test_a_broken_dependency_is_not_hidden():
+    """What the training-data operators need may not be missing in silence, where they are there themselves."""
+    code = """
+    import importlib.util, sys
+    if importlib.util.find_spec("meridian.llm") is None or importlib.util.find_spec("meridian.llm.queries") is None:
+        sys.exit()
+    sys.modules["public_tokenizers"] = None
+    try:
+        import __spark_entry__
+    except ImportError as e:
+        assert e.name == "public_tokenizers", e
+    else:
+        raise AssertionError("nothing was raised")
+    """
+    subprocess.run([sys.executable, "-c", textwrap.dedent(code)], check=True, cwd=entry.__file__.rpartition("/")[0])
