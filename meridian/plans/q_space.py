@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions import geo
 from meridian.operators import matrix_cache, space
+from meridian.operators.nearest import nearest
 from meridian.plans.base import LOC, query
 from meridian.plans.q_presence import HAVERSINE
 from meridian.sources import tables
@@ -64,22 +65,23 @@ _NEAR = "SELECT o, d, distance, rank FROM (SELECT o, d, distance, CAST(row_numbe
 
 @query(f"{_PAIR} " + _NEAR.format(way="", m=f"SELECT o, d, {_M} AS distance FROM od WHERE o <> d"))
 def geo_knn_spherical(s, d):
-    return space.ranked(od(s, d).where("o <> d"), space.metric(geo.haversine), "o", "d").where("rank <= 5").select("o", "d", "distance", "rank")
+    return nearest(loc(s, d), loc(s, d), 5, space.metric(geo.haversine))
 
 
 @query(f"{_PAIR} " + _NEAR.format(way="", m=f"SELECT o, d, {_P} AS distance FROM od WHERE o <> d"))
 def geo_knn_pythagorean(s, d):
-    return space.ranked(od(s, d).where("o <> d"), space.metric(geo.pythagorean), "o", "d").where("rank <= 5").select("o", "d", "distance", "rank")
+    return nearest(loc(s, d), loc(s, d), 5, space.metric(geo.pythagorean), slack=1e-9, planar=True)
 
 
 @query(f"{_PAIR} " + _NEAR.format(way="DESC", m=f"SELECT o, d, {_M} AS distance FROM od WHERE o <> d"))
 def geo_farthest(s, d):
-    return space.ranked(od(s, d).where("o <> d"), space.metric(geo.haversine), "o", "d", farthest=True).where("rank <= 5").select("o", "d", "distance", "rank")
+    return nearest(loc(s, d), loc(s, d), 5, space.metric(geo.haversine), farthest=True)
 
 
 @query(f"{_PAIR} " + _NEAR.format(way="", m=f"SELECT o, d, CAST(trunc({_M} * 0.5) AS BIGINT) AS distance FROM od"))
 def geo_nearest_matrix(s, d):
-    return space.ranked(spherical(s, d), C("duration_s"), "o", "d").where("rank <= 5").select("o", "d", "distance", "rank")
+    seconds = (space.metric(geo.haversine) * F.lit(0.5)).cast("bigint")  # equal for places up to 4 m apart in distance
+    return nearest(loc(s, d), loc(s, d), 5, seconds, slack=4.0, itself=True)
 
 
 @query(f"WITH {LOC} SELECT nation, min(lat) AS lat_lo, min(lon) AS lon_lo, max(lat) AS lat_hi, max(lon) AS lon_hi FROM loc GROUP BY nation")
