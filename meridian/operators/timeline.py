@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from meridian.functions.moment import DAY
 from meridian.operators import joins, sets, steps
@@ -87,6 +88,69 @@ def first_fit(log: pd.DataFrame) -> list[list[tuple]]:
     return placed
 
 
+def strict_clashes(log: DataFrame, by: Sequence[str] = LAYER, slice_us: int = DAY) -> DataFrame:
+    """``conflicts`` as of the time of writing: a put on time that was removed from the earlier event is none."""
+    puts = log.where((F.col("op") == "put") & (F.col("lo") < F.col("hi"))).select(*by, "seq", "lo", "hi")
+    pair = [*by, "seq", "with_seq"]
+    shared = joins.overlapping(puts, puts, by, slice_us).where(F.col("b_seq") < F.col("seq"))
+    shared = shared.select(*by, "seq", F.col("b_seq").alias("with_seq"), F.greatest("lo", "b_lo").alias("lo"), F.least("hi", "b_hi").alias("hi"))
+    removes = log.where((F.col("op") == "remove") & (F.col("lo") < F.col("hi"))).select(*by, "seq", "lo", "hi")
+    cleared = joins.overlapping(shared, removes, by, slice_us).where((F.col("b_seq") > F.col("with_seq")) & (F.col("b_seq") < F.col("seq")))
+    cleared = cleared.select(*pair, F.greatest("lo", "b_lo").alias("lo"), F.least("hi", "b_hi").alias("hi"))
+    length = sets.merge(cleared, pair).groupBy(*pair).agg(F.sum(F.col("hi") - F.col("lo")).alias("_cleared"))
+    left = shared.join(length, pair, "left").where(F.coalesce("_cleared", F.lit(0)) < F.col("hi") - F.col("lo"))
+    return left.select(*pair)
+
+
+def presences(log: DataFrame, by: Sequence[str] = LAYER, slice_us: int = DAY) -> DataFrame:
+    """lo (the moment), lat, lon, tags of a presence layer: the last put at each moment that no later remove covers."""
+    puts = steps.latest(log.where("op = 'put'").select(*by, F.col("lo").alias("t"), "seq", "lat", "lon", "tags"), by)
+    at = puts.select(*by, "seq", F.col("t").alias("lo"), (F.col("t") + 1).alias("hi"))
+    removes = log.where((F.col("op") == "remove") & (F.col("lo") < F.col("hi"))).select(*by, "seq", "lo", "hi")
+    gone = joins.overlapping(at, removes, by, slice_us).where(F.col("b_seq") > F.col("seq")).select(*by, "seq").distinct()
+    return puts.join(gone, [*by, "seq"], "left_anti").withColumnRenamed("t", "lo").drop("seq")
+
+
+def build(layers: DataFrame, log: DataFrame, slice_us: int = DAY) -> DataFrame:
+    """What each layer of each timeline holds after all that was written to it, by the layer's kind.
+
+    layers: timeline, layer, kind (one row each). log: timeline, layer, seq, op, what (interval,
+    presence or event), lo, hi (finite; a put presence's moment is lo), lat, lon, tags. Returns
+    timeline, layer, kind, lane (of overlap layers), lo, hi (null for presences), lat, lon, tags.
+
+    Raises as the plan runs: at a layer defined twice, a write to one that is not defined or of a
+    kind that holds no such thing, and an event put on another of a strict layer.
+    """
+    defined = layers.groupBy(*LAYER).agg(F.first("kind").alias("kind"), F.count("*").alias("_n"))
+    written = log.join(defined, [*LAYER], "left")
+    holds = F.coalesce(*(F.when(F.col("kind") == k, F.col("what").isin(*what)) for k, what in ALLOWED.items()), F.lit(False))
+    of = lambda kind: written.where(F.col("kind") == kind).drop("kind", "what", "_n")
+    tags = log.schema["tags"].dataType
+    none = lambda rows, why: rows.groupBy().count().select(F.assert_true(F.col("count") == 0, F.lit(why)).alias("_ok"))
+    checks = [
+        none(defined.where("_n > 1"), "a layer is defined twice"),
+        none(written.where(~holds), "a layer that is not defined, or holds no such thing"),
+        none(strict_clashes(of(STRICT), slice_us=slice_us), "an event on another of a strict layer"),
+    ]
+    said = of(OVERLAP).withColumn("tag", F.to_json(F.struct("tags")))
+    read = F.from_json("tag", StructType([StructField("tags", tags)]))["tags"]
+    parts = {
+        INTERVAL: intervals(of(INTERVAL)),
+        PRESENCE: presences(of(PRESENCE), slice_us=slice_us),
+        STRICT: merge_layer(of(STRICT), LAYER, slice_us),
+        OVERLAP: lanes(said).withColumn("tags", read),
+        MERGE: merge_layer(of(MERGE), LAYER, slice_us),
+    }
+    types = {"lane": "int", "lo": "bigint", "hi": "bigint", "lat": "double", "lon": "double", "tags": tags}
+    out = None
+    for kind, rows in parts.items():
+        shaped = rows.select(*LAYER, F.lit(kind).alias("kind"), *((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
+        out = shaped if out is None else out.unionByName(shaped)
+    for check in checks:  # one row each
+        out = out.crossJoin(F.broadcast(check)).where("_ok IS NULL").drop("_ok")
+    return out
+
+
 def removed(events: DataFrame, lo: int, hi: int) -> DataFrame:
     """Events without what lies in [lo, hi); one that reaches over it is split."""
     pieces = F.array(

@@ -218,9 +218,38 @@ def tl_merge(s, d):
     return timeline.merge_layer(log(s, d).withColumnRenamed("tag", "tags"), ["timeline"], DAY)
 
 
-@query(f"WITH {EV}, {_MERGE.replace('lg AS', _TL + ', lg AS', 1)} SELECT key AS timeline, lo, hi, value AS tags FROM c WHERE value IS NOT NULL")
+#: The kind of each type's layer in a built timeline.
+_KINDS = {"view": timeline.INTERVAL, "click": timeline.MERGE, "purchase": timeline.OVERLAP, "error": timeline.PRESENCE}
+_KIND = "CASE layer " + " ".join(f"WHEN '{t}' THEN '{k}'" for t, k in _KINDS.items()) + f" ELSE '{timeline.STRICT}' END"
+#: A strict layer's events are made disjoint: the last of each day, for twelve hours from midnight.
+_HALF = DAY // 2
+
+
+@query(f"""WITH {EV}, {_TL}, dl AS (SELECT key, layer, {_KIND} AS kind, seq, op, lo, hi, tag FROM tl),
+ lg AS (SELECT key, layer, seq, lo, hi, op || CASE WHEN kind = '{timeline.MERGE}' THEN tag ELSE '' END AS value FROM dl WHERE kind IN ('{timeline.INTERVAL}', '{timeline.MERGE}')), {winning('w', 'lg', _BY)}, {coalesced('c', 'w', 'value', _BY)},
+ p AS (SELECT key, layer, lo AS t FROM dl WHERE kind = '{timeline.OVERLAP}' UNION SELECT key, layer, hi FROM dl WHERE kind = '{timeline.OVERLAP}'),
+ sg AS (SELECT key, layer, t AS lo, lead(t) OVER (PARTITION BY key, layer ORDER BY t) AS hi FROM p),
+ o AS (SELECT x.key, x.layer, s.lo, s.hi FROM dl x JOIN sg s ON s.key = x.key AND s.layer = x.layer AND x.lo <= s.lo AND s.hi <= x.hi WHERE x.op = 'put'
+  AND NOT EXISTS (SELECT 1 FROM dl r WHERE r.op = 'remove' AND r.key = x.key AND r.layer = x.layer AND r.seq > x.seq AND r.lo <= s.lo AND s.hi <= r.hi)),
+ pr AS (SELECT DISTINCT key, layer, lo, NULL::BIGINT AS hi FROM dl x WHERE kind = '{timeline.PRESENCE}' AND op = 'put'
+  AND NOT EXISTS (SELECT 1 FROM dl r WHERE r.op = 'remove' AND r.key = x.key AND r.layer = x.layer AND r.seq > x.seq AND r.lo <= x.lo AND x.lo < r.hi)),
+ st AS (SELECT key, layer, lo - lo % {DAY} AS lo, lo - lo % {DAY} + {_HALF} AS hi, arg_max(op, seq) AS op FROM dl WHERE kind = '{timeline.STRICT}' GROUP BY ALL),
+ every AS (SELECT key, layer, lo, hi FROM c WHERE value LIKE 'put%' UNION ALL SELECT key, layer, lo, hi FROM o UNION ALL SELECT key, layer, lo, hi FROM pr UNION ALL SELECT key, layer, lo, hi FROM st WHERE op = 'put')
+ SELECT key AS timeline, layer, {_KIND} AS kind, min(lo) AS first, max(hi) AS until, CAST(sum(hi - lo) AS BIGINT) AS total,
+  CASE WHEN {_KIND} <> '{timeline.OVERLAP}' THEN count(*) END AS held FROM every GROUP BY key, layer""")
 def timeline_build(s, d):
-    return timeline.merge_layer(log(s, d).withColumnRenamed("tag", "tags"), ["timeline"])
+    """What layers of all five kinds hold, from definitions and one log: first, until, total, and how many (of overlap layers the time only)."""
+    kind = F.coalesce(*(F.when(C("layer") == t, F.lit(k)) for t, k in _KINDS.items()), F.lit(timeline.STRICT))
+    rows = log(s, d).withColumn("kind", kind)
+    day = C("lo") - C("lo") % DAY
+    strict = rows.where(C("kind") == timeline.STRICT).withColumn("lo", day).withColumn("hi", C("lo") + _HALF)
+    last = strict.groupBy("timeline", "layer", "kind", "lo", "hi").agg(F.max_by(F.struct("seq", "op", "tag"), "seq").alias("x")).select("timeline", "layer", "kind", "lo", "hi", "x.*")
+    rows = rows.where(C("kind") != timeline.STRICT).unionByName(last)
+    what = F.when(C("kind") == timeline.INTERVAL, "interval").when(C("kind") == timeline.PRESENCE, "presence").otherwise("event")
+    written = rows.select("timeline", "layer", "seq", "op", what.alias("what"), "lo", "hi", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), C("tag").alias("tags"))
+    built = timeline.build(rows.select("timeline", "layer", "kind").distinct(), written)
+    held = F.when(C("kind") != timeline.OVERLAP, F.count("*"))
+    return built.groupBy("timeline", "layer", "kind").agg(F.min("lo").alias("first"), F.max("hi").alias("until"), F.sum(C("hi") - C("lo")).alias("total"), held.alias("held"))
 
 
 @query()
