@@ -60,9 +60,10 @@ def _packed(hashed: Column, pos: Column) -> Column:
 def kmers(text: Column, first: Column, alone: Column) -> Column:
     """A text's runs in order, as numbers; positions begin at ``first``. alone: whether a text shorter than a run is one."""
     points = F.encode(text, "UTF-32")  # four bytes for each code point, so any run is found at once
-    places = F.sequence(F.lit(0), F.length(text) - CHARS)
-    grams = let(points, lambda b: F.transform(places, lambda i: _packed(F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHARS))), first + i)))
-    none = F.array().cast("array<bigint>")
+    starts = F.sequence(F.lit(1), 4 * (F.length(text) - CHARS) + 1, F.lit(4))
+    first = F.coalesce(first, F.lit(0))  # nothing here is null, so that arrays are sorted as plain numbers
+    grams = let(points, lambda b: F.transform(starts, lambda at, i: _packed(F.xxhash64(F.substring(b, at, F.lit(4 * CHARS))), first + i)))
+    none = F.slice(F.array(F.lit(0).cast("long")), 1, 0)
     return F.when(F.length(text) >= CHARS, grams).when(alone & (F.length(text) > 0), F.array(_packed(F.xxhash64(points), F.lit(0)))).otherwise(none)
 
 
@@ -73,14 +74,16 @@ def least(texts: DataFrame, key: list[str], column: str = "kmers", share: str =
     those take no part (the others are part 1). A text without k-mers has nulls.
     """
     rows = texts.select(*key, share, skip, F.sort_array(column).alias("s"))
-    # where the equal ones begin, for each of the sorted k-mers
-    new = F.transform("s", lambda x, i: F.when(F.shiftright(F.get("s", i - 1).bitwiseXOR(x), POSITION_BITS) == 0, F.lit(None)).otherwise(i))
-    rows = rows.select(*key, share, skip, "s", F.filter(new, lambda i: i.isNotNull()).alias("starts"))
-    begun = F.flatten(F.transform("starts", lambda i, j: F.array_repeat(i, F.coalesce(F.get("starts", j + 1), F.size("s")) - i)))
-    rows = rows.select(*key, share, skip, "s", begun.alias("begun"))
-    # an outer generator, as for another one the optimiser would work out the array twice
-    rows = rows.select(*key, share, skip, "begun", F.posexplode_outer("s").alias("i", "x"))
-    numbered = F.xxhash64(F.shiftright("x", POSITION_BITS), F.col("i") - F.get("begun", F.col("i")))
+    # where the equal ones begin, among the sorted k-mers
+    new = lambda i: ~(F.shiftright(F.get("s", i - 1).bitwiseXOR(F.get("s", i)), POSITION_BITS).eqNullSafe(F.lit(0)))
+    places = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1))
+    rows = rows.select(*key, share, skip, "s", F.filter(places, new).alias("starts"))
+    # outer generators, as for others the optimiser would work out the arrays twice
+    rows = rows.select(*key, share, skip, "s", "starts", F.posexplode_outer("starts").alias("j", "start"))
+    end = F.coalesce(F.get("starts", F.col("j") + 1), F.size("s"))
+    rows = rows.select(*key, share, skip, "s", "start", F.explode_outer(F.sequence("start", end - 1)).alias("i"))
+    rows = rows.select(*key, share, skip, F.get("s", F.col("i")).alias("x"), (F.col("i") - F.col("start")).alias("nth"))
+    numbered = F.xxhash64(F.shiftright("x", POSITION_BITS), "nth")
     rows = rows.select(*key, share, skip, numbered.alias("k"), F.col("x").bitwiseAND(F.lit(_LOW)).alias("pos"))
     rows = rows.where(F.col("pos").isNull() | ~F.col(skip) | (F.col("pos") >= F.col(share)))
     rows = rows.withColumn("part", F.when(F.col("pos") < F.col(share), 0).otherwise(1))
