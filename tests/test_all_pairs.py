@@ -11,7 +11,7 @@ from meridian.plans import registry
 
 SCHEMA = "id long, nation int, lat double, lon double"
 #: Queries whose pairs are to be dealt over all cores.
-DEALT = ["od_travel_time", "od_pythagorean", "od_pyth_resolve"]
+DEALT = ["od_travel_time", "od_pythagorean", "od_pyth_resolve", "track_from_od"]
 #: Queries whose pairs are not to be shuffled.
 STILL = ["od_uncovered"]
 
