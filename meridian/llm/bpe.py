@@ -129,7 +129,7 @@ class Encoder(dict):
     so frequent pre-tokens stay.
     """
 
-    LIMIT = 160_000
+    LIMIT = 60_000  # about 450 bytes each, twice, in every Python worker
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)

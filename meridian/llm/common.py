@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -125,12 +126,23 @@ def hash_sample(df: DataFrame, by: str, per_group: int) -> DataFrame:
 def texts_of(batches: Iterator[pa.RecordBatch], column: str = "text"):
     """(batch, its texts one by one) with null read as empty.
 
-    Only one text at a time is a Python object, and a batch's buffers are given back after it.
+    Only one text at a time is a Python object, and a batch's buffers are given back after it. So
+    is what the worker's last task has freed, of this operator or one before: workers live on.
     """
+    give_back()
     for b in batches:
         yield b, each(b.column(column))
         del b
         pa.default_memory_pool().release_unused()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can (glibc)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def each(column: pa.Array):

@@ -579,3 +579,16 @@ def test_pipeline(spark, small):
     assert out.count() == kept.count()
     texts = {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in documents.collect()}
     assert all(r["decoded_sha256"] == texts[r["doc_id"]] for r in out.collect())
+
+
+def test_remembered_pre_tokens_stay_small():
+    import sys
+
+    ranks = {bytes([i]): i for i in range(256)}
+    own = bpe.Encoder(ranks, r"\S+")
+    for i in range(400_000):
+        own[f"word{i:06}"]
+    held = [*own.items(), *own.older.items()]
+    size = sys.getsizeof(own) + sys.getsizeof(own.older) + sum(sys.getsizeof(k) + sys.getsizeof(v) + sum(map(sys.getsizeof, v)) for k, v in held)
+    assert size < 80e6  # a worker's; an executor has one for each core
+    assert own.encode("word000001 word399999") == [*b"word000001", *b"word399999"]
