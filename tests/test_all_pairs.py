@@ -101,7 +101,7 @@ def test_pairs_with_repeated_and_null_ids(spark, monkeypatch):
     assert space.pairs(df, df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["od_pythagorean"])
+@pytest.mark.parametrize("name", ["od_pythagorean", "od_pyth_resolve"])
 def test_origins_meet_blocks_of_destinations(spark, medium, name, monkeypatch):
     """What generated code makes of one row, it holds: that must not be all cells of an origin."""
     monkeypatch.setattr(space, "PAIRED", 10)
