@@ -592,3 +592,13 @@ def test_remembered_pre_tokens_stay_small():
     size = sys.getsizeof(own) + sys.getsizeof(own.older) + sum(sys.getsizeof(k) + sys.getsizeof(v) + sum(map(sys.getsizeof, v)) for k, v in held)
     assert size < 80e6  # a worker's; an executor has one for each core
     assert own.encode("word000001 word399999") == [*b"word000001", *b"word399999"]
+
+
+def test_very_many_pre_tokens_are_remembered(monkeypatch):
+    """Merging what was met before is most of the work on texts of many words."""
+    own, made, merged = bpe.Encoder({bytes([i]): i for i in range(256)}, r"\S+"), [], bpe.merged
+    monkeypatch.setattr(bpe, "merged", lambda piece, ranks: made.append(piece) or merged(piece, ranks))
+    words = [chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26) + chr(97 + i // 17576) for i in range(140_000)]
+    for text in (" ".join(words), " ".join(words)):
+        assert own.encode(text) == [*"".join(words).encode()]
+    assert len(made) == len(words)
