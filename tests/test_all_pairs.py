@@ -102,9 +102,8 @@ def test_pairs_with_repeated_and_null_ids(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("name", ["od_pythagorean", "od_pyth_resolve", "track_from_od"])
-def test_origins_meet_blocks_of_destinations(spark, medium, name, monkeypatch):
+def test_origins_meet_blocks_of_destinations(spark, medium, name):
     """What generated code makes of one row, it holds: that must not be all cells of an origin."""
-    monkeypatch.setattr(space, "PAIRED", 10)
     rows = registry.QUERIES[name](spark, medium)
     plan = rows._jdf.queryExecution().sparkPlan().toString()
     above, _, below = plan.partition("CartesianProduct")
